@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import sharding
+from . import packing, sharding
 from .common import table
 
 QUERIES: dict = {}
@@ -17,3 +17,8 @@ def query(f):
 @query
 def op1_sharding(spark, sf_dir):
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
+
+
+@query
+def op10_packing(spark, sf_dir):
+    return packing.pack(table(spark, sf_dir, "documents"))
