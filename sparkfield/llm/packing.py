@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .common import durable, gapless
+from .textgrid import chunks
 
 PIECES = "doc_id long, start long, length int, ids_crc32 long, doc_tokens long"
 
@@ -95,7 +96,7 @@ def _pieces(batches: Iterator[pa.RecordBatch], tokenizer: str, end_id: int, wind
     end = np.array([end_id], np.uint32)
     for batch in batches:
         doc_ids, texts = batch.column(0).to_pylist(), batch.column(1)
-        for lo, hi in _chunks(texts, 4 << 20):
+        for lo, hi in chunks(texts, 4 << 20):
             rows = [[], [], [], [], []]
             for doc, ids in zip(doc_ids[lo:hi], coder.encode([t or "" for t in texts.slice(lo, hi - lo).to_pylist()]), strict=True):
                 ids = np.concatenate([ids, end]).astype("<u4")
@@ -106,18 +107,6 @@ def _pieces(batches: Iterator[pa.RecordBatch], tokenizer: str, end_id: int, wind
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64()), strict=True)], ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
 
-def _chunks(texts, most: int) -> Iterator[tuple[int, int]]:
-    """Ranges of whole texts of about ``most`` bytes."""
-    size, lo = 0, 0
-    for i, n in enumerate(pa.compute.binary_length(texts).to_pylist()):
-        size += n or 0
-        if size >= most:
-            yield lo, i + 1
-            size, lo = 0, i + 1
-    if lo < len(texts):
-        yield lo, len(texts)
-
-
 def combinations(lengths: np.ndarray, window: int, depth: int = 4, choices: int = 6) -> list[tuple[int, ...]]:
     """Combinations of up to ``depth`` present lengths that nearly fill a window.
 
