@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, packing, sharding
+from . import decontaminate, packing, sharding, url_filter
 from .common import table
 
 QUERIES: dict = {}
@@ -42,3 +42,8 @@ m AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
 sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN c USING (doc_id) LEFT JOIN m USING (doc_id)"""
+
+
+@query
+def op9_url_filter(spark, sf_dir):
+    return url_filter.judge(table(spark, sf_dir, "pages"))
