@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, packing, sharding, url_filter
+from . import decontaminate, packing, quality, sharding, url_filter
 from .common import table
 
 QUERIES: dict = {}
@@ -47,3 +47,8 @@ FROM d LEFT JOIN c USING (doc_id) LEFT JOIN m USING (doc_id)"""
 @query
 def op9_url_filter(spark, sf_dir):
     return url_filter.judge(table(spark, sf_dir, "pages"))
+
+
+@query
+def op5_quality(spark, sf_dir):
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
