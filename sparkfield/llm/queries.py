@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, packing, quality, sharding, url_filter
+from . import decontaminate, ngram_join, packing, quality, sharding, url_filter
 from .common import table
 
 QUERIES: dict = {}
@@ -52,3 +52,8 @@ def op9_url_filter(spark, sf_dir):
 @query
 def op5_quality(spark, sf_dir):
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op7_ngram_jaccard(spark, sf_dir):
+    return ngram_join.classes(table(spark, sf_dir, "documents"))
