@@ -76,3 +76,21 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             break
         seen = state
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+
+
+def keyed(docs: DataFrame, columns: list[str], order: str = "doc_id", most: int = 1 << 62) -> DataFrame:
+    """``docs`` with a unique ``key`` from 0 to ``most`` that sorts as ``order`` does (nulls first).
+
+    A column that is unique and in range is its own key. Otherwise (repeated rows, null or
+    negative ids) the rows are sorted, numbered across the sorted partitions and stored.
+    """
+    seen = docs.agg(F.count(F.lit(1)), F.count_distinct(order), F.count(order), F.min(order), F.max(order)).first()
+    if not seen[0] or (seen[0] == seen[1] == seen[2] and seen[3] >= 0 and seen[4] < most):
+        return docs.select(F.col(order).cast("long").alias("key"), *columns)
+    parts = docs.select(order, *(c for c in columns if c != order)).orderBy(F.col(order).asc_nulls_first())
+    parts = durable(parts.select(F.monotonically_increasing_id().alias("_at"), *columns))
+    part, own = F.shiftright("_at", 33), F.col("_at").bitwiseAND((1 << 33) - 1)
+    sizes = parts.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
+    before = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)  # a row for each partition
+    sizes = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_shift"))
+    return durable(parts.withColumn("_part", part).join(sizes, "_part").select((own + F.col("_shift")).alias("key"), *columns))
