@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, ngram_join, packing, quality, sharding, substring_exact, url_filter
+from . import decontaminate, ngram_join, packing, passages, quality, sharding, substring_exact, url_filter
 from .common import table
 
 QUERIES: dict = {}
@@ -62,3 +62,8 @@ def op7_ngram_jaccard(spark, sf_dir):
 @query
 def op4_suffix_array(spark, sf_dir):
     return substring_exact.remove_repeats(table(spark, sf_dir, "documents"))
+
+
+@query
+def op3_compact_windows(spark, sf_dir):
+    return passages.passage_report(table(spark, sf_dir, "documents"))
