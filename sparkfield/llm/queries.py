@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, ngram_join, packing, passages, quality, sharding, substring_exact, url_filter
+from . import decontaminate, html_text, ngram_join, packing, passages, quality, sharding, substring_exact, url_filter
 from .common import table
 
 QUERIES: dict = {}
@@ -67,3 +67,8 @@ def op4_suffix_array(spark, sf_dir):
 @query
 def op3_compact_windows(spark, sf_dir):
     return passages.passage_report(table(spark, sf_dir, "documents"))
+
+
+@query
+def op6_html_text(spark, sf_dir):
+    return html_text.extract(table(spark, sf_dir, "pages"))
