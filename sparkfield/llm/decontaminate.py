@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql import Window as W
 
-from .common import NON_WORD, ascii_lower
+from .common import NON_WORD, ascii_lower, durable
 
 #: Benchmark windows up to which their table is broadcast; a larger one is shuffled.
 BROADCAST_WINDOWS = 200_000
@@ -79,7 +79,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, k: in
     get equal results, null ids are kept, further columns are ignored, empty tables give no
     rows or no hits.
     """
-    found = hits(docs, benchmark, window, k)
+    found = durable(hits(docs, benchmark, window, k))  # read twice below
     spans = found.groupBy("doc_id", "tkey", "i").agg(F.max("n").alias("n"))
     before = W.partitionBy("doc_id", "tkey").orderBy("i").rowsBetween(W.unboundedPreceding, -1)
     end = F.col("i") + F.col("n")
