@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, html_text, ngram_join, packing, passages, quality, sharding, substring_exact, url_filter
+from . import decontaminate, embedding_graph, html_text, ngram_join, packing, passages, quality, sharding, substring_exact, url_filter
 from .common import table
 
 QUERIES: dict = {}
@@ -72,3 +72,8 @@ def op3_compact_windows(spark, sf_dir):
 @query
 def op6_html_text(spark, sf_dir):
     return html_text.extract(table(spark, sf_dir, "pages"))
+
+
+@query
+def op8_embedding_graph(spark, sf_dir):
+    return embedding_graph.near_duplicates(table(spark, sf_dir, "embeddings"))
