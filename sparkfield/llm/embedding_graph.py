@@ -24,7 +24,7 @@ from .common import components, durable
 SAMPLE = 20_000
 SHARD, CAP, MAX_SHARDS = 1000, 8000, 4096
 OVERLAP, MARGIN = 4, 0.3
-NEAR, DEGREE, ALPHA, BEAM = 48, 20, 1.2, 24
+NEAR, CLOSE, DEGREE, BACK, ALPHA, BEAM = 48, 14, 26, 4, 1.2, 24
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -64,12 +64,17 @@ def _assign(batches: Iterator[pa.RecordBatch], c: np.ndarray) -> Iterator[pa.Rec
 
 
 def robust_prune(x: np.ndarray, i: int, near: np.ndarray) -> list[int]:
-    """Of ``near`` (nearest first), those to which no kept one is ALPHA times closer than ``i`` is."""
+    """Of ``near`` (nearest first), those to which no kept one is ALPHA times closer than ``i`` is.
+
+    At most CLOSE of the NEAR nearest are kept, so that some edges always lead further off.
+    """
     kept: list[int] = []
     mine = 1 - x[near] @ x[i]
     between = 1 - x[near] @ x[near].T
     open_ = np.ones(len(near), bool)
     for j in range(len(near)):
+        if j < NEAR and len(kept) >= CLOSE:
+            continue
         if open_[j]:
             kept.append(int(near[j]))
             if len(kept) == DEGREE:
@@ -82,21 +87,23 @@ def build(x: np.ndarray) -> list[list[int]]:
     """Adjacency lists of unit vectors, with an edge back for each."""
     n = len(x)
     out: list[list[int]] = [[] for _ in range(n)]
-    k = min(NEAR, n - 1)
-    if k < 1:
+    if n < 2:
         return out
+    # the nearest, and then ever sparser ranks
+    ranks = np.unique(np.concatenate([np.arange(min(NEAR, n - 1)), np.minimum((NEAR * 1.25 ** np.arange(1, 30)).astype(int), n - 2)]))
     for lo in range(0, n, 1024):
         sims = x[lo : lo + 1024] @ x.T
         sims[np.arange(len(sims)), lo + np.arange(len(sims))] = -2
-        best = np.argpartition(-sims, k - 1, axis=1)[:, :k]
-        best = np.take_along_axis(best, np.argsort(-np.take_along_axis(sims, best, 1), axis=1, kind="stable"), 1)
+        best = np.argsort(-sims, axis=1, kind="stable")[:, ranks]
         for i, near in enumerate(best):
             out[lo + i] = robust_prune(x, lo + i, near)
+    # an edge back from each one's first neighbours, or vectors that are nobody's nearest could not be reached
     back: list[list[int]] = [[] for _ in range(n)]
     for i, near in enumerate(out):
-        for j in near:
-            back[j].append(i)
-    return [sorted(set(out[i]) | set(back[i][: 2 * DEGREE])) for i in range(n)]
+        for rank, j in enumerate(near):
+            if rank < BACK or len(back[j]) < DEGREE:
+                back[j].append(i)
+    return [sorted(set(out[i]) | set(back[i])) for i in range(n)]
 
 
 def range_search(x: np.ndarray, near: list[np.ndarray], i: int, starts: list[int], least: float) -> list[int]:
