@@ -18,70 +18,90 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .common import durable, gapless
-from .textgrid import chunks
+from .textgrid import ALNUM, FOLDED_BYTE, NOT_SPACE, PLAIN_BYTE, PUNCT, Words, chunks
 
 PIECES = "doc_id long, start long, length int, ids_crc32 long, doc_tokens long"
 
 
-def _spaced(text: str) -> str:
-    """Blanks for the white space that every splitter and the tokenizers' ``\\s`` agree on."""
-    for c in "\n\t\r\x0b\x0c":
-        if c in text:
-            text = text.replace(c, " ")
-    return text
-
 
 class WordEncoder:
-    """Ids of a text as its white-space separated words' ids in a row, with a bounded cache.
+    """Ids of a text as its words' ids in a row, each word encoded once.
 
-    Sound for tokenizers whose splitting drops white space and never crosses it, which
-    ``agrees`` tests on the texts given.
+    Words are what stands between blanks: sound for tokenizers whose splitting drops white
+    space and never crosses it. Where PROBES show that the tokenizer also splits between
+    letters or digits and punctuation, or ignores case, words are cut and folded likewise;
+    ``agrees`` tests the whole on given texts. Known words are kept by 64-bit hash in flat
+    arrays; when there are more than ``most`` of them, the table starts anew.
     """
 
-    def __init__(self, path: str, cache_words: int = 1_000_000):
+    PROBES = (("word.", "word", "."), ("a,b", "a", ",", "b"), ("(x)", "(", "x", ")"), ("it's!", "it's", "!"), ("9%", "9", "%"), ("q...r", "q", "...", "r"), ("don't-go", "don't", "-", "go"), ("x_y", "x", "_", "y"), ("#&*z", "#&*", "z"))
+
+    MARK = "\x01"
+
+    def __init__(self, path: str, most: int = 2_000_000):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.limit = cache_words
+        self.mark = self.tok.encode(self.MARK, add_special_tokens=False).ids
+        self.most = most
+        ids = lambda t: self.tok.encode(t, add_special_tokens=False).ids
+        self.sides = (ALNUM, PUNCT) if all(ids(p[0]) == [i for w in p[1:] for i in ids(w)] for p in self.PROBES) else None
+        folds = all(ids(t) == ids(t.lower()) for t in ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "The", "xYz", "RE'S", *map(chr, range(65, 91))))
+        self.byte = FOLDED_BYTE if folds else PLAIN_BYTE
         self._clear()
 
     def _clear(self) -> None:
-        self.index: dict[str, int] = {}
-        self.flat = np.zeros(1 << 16, np.uint32)
-        self.ends = [0]
-
-    def _learn(self, words: list[str]) -> None:
-        got = self.tok.encode_batch_fast(words, add_special_tokens=False)
-        ids = [x.ids for x in got]
-        size = self.ends[-1]
-        new = np.fromiter((i for x in ids for i in x), np.uint32)
-        while size + len(new) > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros(len(self.flat), np.uint32)])
-        self.flat[size : size + len(new)] = new
-        for w, x in zip(words, ids, strict=True):
-            self.index[w] = len(self.ends) - 1
-            size += len(x)
-            self.ends.append(size)
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        split = [_spaced(t).split(" ") for t in texts]
-        if len(self.index) > self.limit:
+        self.known = np.zeros(0, np.uint64)
+        self.first = np.zeros(0, np.int64)
+        self.count = np.zeros(0, np.int64)
+        self.flat = np.zeros(0, np.uint32)
+
+    def _encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids in a row, and how many each word has: many words at a time, with a mark between."""
+        plain = [w for w in words if self.MARK not in w] if len(self.mark) == 1 else []
+        ids, counts = {}, {}
+        groups = [plain[i : i + 200] for i in range(0, len(plain), 200)]
+        text = f" {self.MARK} "
+        for g, e in zip(groups, self.tok.encode_batch_fast([text.join([*g, ""]) for g in groups], add_special_tokens=False), strict=True):
+            flat = np.array(e.ids, np.uint32)
+            stop = np.flatnonzero(flat == self.mark[0])
+            for w, lo, hi in zip(g, np.concatenate([[0], stop[:-1] + 1]).tolist(), stop.tolist(), strict=True):
+                ids[w] = flat[lo:hi]
+        rest = [w for w in words if w not in ids]
+        for w, e in zip(rest, self.tok.encode_batch_fast(rest, add_special_tokens=False), strict=True):
+            ids[w] = np.array(e.ids, np.uint32)
+        parts = [ids[w] for w in words]
+        return np.concatenate([np.zeros(0, np.uint32), *parts]), np.array([len(x) for x in parts], np.int64)
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in a row, and where each text begins in them."""
+        g = Words(texts, NOT_SPACE, self.byte, self.sides)
+        each, at, back = np.unique(g.hash, return_index=True, return_inverse=True)
+        if len(self.known) > self.most:
             self._clear()
-        at = [i for ws in split for i in map(self.index.get, ws)]
-        if None in at:
-            self._learn(sorted({w for ws in split for w in ws if w not in self.index}))
-            at = [i for ws in split for i in map(self.index.get, ws)]
-        at, ends = np.array(at, np.int64), np.array(self.ends, np.int64)
-        n = ends[at + 1] - ends[at]
-        stop = np.cumsum(n)
-        flat = self.flat[np.repeat(ends[at] - stop + n, n) + np.arange(int(stop[-1]) if len(stop) else 0)]
-        words = np.cumsum([len(ws) for ws in split])
-        return np.split(flat, stop[words - 1][:-1]) if texts else []
+        place = np.searchsorted(self.known, each)
+        new = np.ones(len(each), bool)
+        inside = place < len(self.known)
+        new[inside] = self.known[place[inside]] != each[inside]
+        if new.any():
+            data = g.data.tobytes()
+            words = [data[lo:hi].decode() for lo, hi in zip(g.start[at[new]].tolist(), g.end[at[new]].tolist(), strict=True)]
+            ids, count = self._encode_words(words)
+            self.known = np.insert(self.known, place[new], each[new])
+            self.first = np.insert(self.first, place[new], len(self.flat) + np.cumsum(count) - count)
+            self.count = np.insert(self.count, place[new], count)
+            self.flat = np.concatenate([self.flat, ids])
+            place = np.searchsorted(self.known, each)
+        n, first = self.count[place][back], self.first[place][back]
+        stop = np.concatenate([[0], np.cumsum(n)])
+        flat = self.flat[np.repeat(first - stop[:-1], n) + np.arange(stop[-1])]
+        return flat, stop[g.at]
 
     def agrees(self, texts: list[str]) -> bool:
         whole = self.tok.encode_batch_fast(texts, add_special_tokens=False)
-        return all(list(a.ids) == b.tolist() for a, b in zip(whole, self.encode(texts), strict=True))
+        flat, at = self.encode(pa.array(texts, pa.string()))
+        return all(list(e.ids) == flat[lo:hi].tolist() for e, lo, hi in zip(whole, at[:-1], at[1:], strict=True))
 
 
 def _pieces(batches: Iterator[pa.RecordBatch], tokenizer: str, end_id: int, window: int) -> Iterator[pa.RecordBatch]:
@@ -93,16 +113,20 @@ def _pieces(batches: Iterator[pa.RecordBatch], tokenizer: str, end_id: int, wind
 
         tokenizer = public_tokenizers.path(tokenizer)
     coder = WordEncoder(tokenizer)
-    end = np.array([end_id], np.uint32)
+    end = np.array([end_id], "<u4").tobytes()
     for batch in batches:
         doc_ids, texts = batch.column(0).to_pylist(), batch.column(1)
         for lo, hi in chunks(texts, 4 << 20):
             rows = [[], [], [], [], []]
-            for doc, ids in zip(doc_ids[lo:hi], coder.encode([t or "" for t in texts.slice(lo, hi - lo).to_pylist()]), strict=True):
-                ids = np.concatenate([ids, end]).astype("<u4")
-                for s in range(0, len(ids), window):
-                    part = ids[s : s + window]
-                    for col, v in zip(rows, (doc, s, len(part), zlib.crc32(part.tobytes()), len(ids)), strict=True):
+            flat, at = coder.encode(texts.slice(lo, hi - lo))
+            flat = flat.astype("<u4")
+            for doc, a, b in zip(doc_ids[lo:hi], at[:-1].tolist(), at[1:].tolist(), strict=True):
+                n = b - a + 1
+                for s in range(0, n, window):
+                    part = flat[a + s : min(b, a + s + window)].tobytes()
+                    if s + window >= n:
+                        part += end
+                    for col, v in zip(rows, (doc, s, len(part) // 4, zlib.crc32(part), n), strict=True):
                         col.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64()), strict=True)], ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 

@@ -25,6 +25,14 @@ _word[48:58] = _word[97:123] = _word[128:] = True
 #: Hash of each byte as part of a word, 0 for bytes between words.
 WORD_BYTE = np.where(_word[_fold], _BYTE[_fold], U64(0))
 IS_WORD = _word[_fold]
+#: The same for words that are whatever stands between blanks, with case.
+NOT_SPACE = ~np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+PLAIN_BYTE = np.where(NOT_SPACE, _BYTE, U64(0))
+FOLDED_BYTE = np.where(NOT_SPACE, _BYTE[_fold], U64(0))
+_ASCII = np.arange(256) < 128
+ALNUM = _ASCII & _word[_fold]
+#: Printing ASCII characters but letters, digits and the apostrophe.
+PUNCT = _ASCII & ~ALNUM & (np.arange(256) > 32) & (np.arange(256) != 39) & (np.arange(256) != 127)
 
 
 @lru_cache(2)
@@ -74,14 +82,19 @@ def raw(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 class Words:
     """Word hashes of a chunk of texts: ``hash``, byte ranges, and the words of text i at ``at[i]:at[i+1]``."""
 
-    def __init__(self, texts: pa.Array):
+    def __init__(self, texts: pa.Array, inside_byte: np.ndarray = IS_WORD, byte_hash: np.ndarray = WORD_BYTE, sides: tuple[np.ndarray, np.ndarray] | None = None):
         self.data, self.offsets = raw(texts)
         data, n = self.data, len(self.data)
         inside = np.empty(n + 2, bool)
         inside[0] = inside[-1] = False
-        inside[1:-1] = IS_WORD[data]
+        inside[1:-1] = inside_byte[data]
         starts = inside[1:-1] & ~inside[:-2]
         ends = inside[1:-1] & ~inside[2:]
+        if sides and n:  # words also end where bytes of the two kinds meet
+            a, b = sides[0][data], sides[1][data]
+            meet = (a[:-1] & b[1:]) | (b[:-1] & a[1:])
+            starts[1:] |= meet
+            ends[:-1] |= meet
         # a text's first and last bytes border on another text
         lo = self.offsets[:-1][self.offsets[:-1] < self.offsets[1:]]
         hi = self.offsets[1:][self.offsets[:-1] < self.offsets[1:]] - 1
@@ -91,7 +104,7 @@ class Words:
         if n:
             p, q = powers(1 << max(20, int(n).bit_length()))
             run = np.zeros(n + 1, U64)
-            np.cumsum(WORD_BYTE[data] * p[:n], out=run[1:])
+            np.cumsum(byte_hash[data] * p[:n], out=run[1:])
             self.hash = mix((run[self.end] - run[self.start]) * q[self.start])
         else:
             self.hash = np.zeros(0, U64)
