@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql import Window as W
@@ -94,3 +95,44 @@ def keyed(docs: DataFrame, columns: list[str], order: str = "doc_id", most: int
     before = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)  # a row for each partition
     sizes = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_shift"))
     return durable(parts.withColumn("_part", part).join(sizes, "_part").select((own + F.col("_shift")).alias("key"), *columns))
+
+
+#: Rows of a key bitmap; with 64 bits each its size never grows with the data.
+BITMAP_ROWS = 1 << 16
+
+
+def split_by_keys(df: DataFrame, key: str, keys: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+    """(rows whose key may be in ``keys[name]``, rows whose key surely is not), without a shuffle of ``df``.
+
+    The keys become a bitmap of BITMAP_ROWS x 64 bits, which is broadcast; where it fills up,
+    more rows are kept for the exact join that follows.
+    """
+    h = F.xxhash64(name)
+    bits = keys.select(F.pmod(h, F.lit(BITMAP_ROWS)).alias("_row"), F.expr(f"shiftleft(1L, cast(pmod(shiftright(xxhash64({name}), 32), 64) as int))").alias("_bit"))
+    bits = F.broadcast(bits.groupBy("_row").agg(F.bit_or("_bit").alias("_bits")))
+    own = df.withColumn("_own", F.pmod(F.xxhash64(key), F.lit(BITMAP_ROWS))).join(bits, F.col("_own") == F.col("_row"), "left")
+    hit = F.expr(f"coalesce(_bits, 0L) & shiftleft(1L, cast(pmod(shiftright(xxhash64({key}), 32), 64) as int))") != 0
+    return own.where(hit).select(*df.columns), own.where(~hit).select(*df.columns)
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """Like ``durable``, for large tables: compressed Parquet in the shared checkpoint folder."""
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="sparkfield-ckpt-"))
+    path = f"{sc.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def without_copies(base: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``base(key, text)`` with only the first of equal texts, and the others as (key, first).
+
+    Copies are found by two 64-bit hashes; the texts that surely are none are not shuffled.
+    """
+    base = base.where("text is not null").select("key", "text")
+    ids = base.select("key", F.xxhash64("text").alias("h"), F.xxhash64(F.lit(1), "text").alias("g"))
+    firsts = ids.groupBy("h", "g").agg(F.min("key").alias("first"), F.count(F.lit(1)).alias("c")).where("c > 1").select("h", "g", "first")
+    copies = durable(ids.join(firsts, ["h", "g"]).where("key <> first").select(F.col("key").alias("copy"), "first"))
+    maybe, sure = split_by_keys(base, "key", copies, "copy")
+    return sure.unionByName(maybe.join(copies, F.col("key") == F.col("copy"), "left_anti")), copies
