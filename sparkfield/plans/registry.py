@@ -2,6 +2,6 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
-FLAGSHIP = "grid_laplacian_open"
+from .queries import FLAGSHIP, ORACLES, QUERIES
+
+__all__ = ["FLAGSHIP", "ORACLES", "QUERIES"]

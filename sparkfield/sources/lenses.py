@@ -7,9 +7,11 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from sparkfield.operators.boundary import Boundary
 from sparkfield.operators.grid import Grid
 from sparkfield.operators.tensor import Tensor
+from sparkfield.plans.ship import ship
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
