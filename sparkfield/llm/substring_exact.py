@@ -7,13 +7,14 @@ same place, and a position without an equal anchor is unique at once. The (posit
 table then goes through rounds of growing length, each pairing a rank with that of the text
 beyond it, grouping equal pairs and dropping positions that became unique:
 
-1. rank of the ``length - SPAN + 1`` bytes from the anchor on;
-2. that rank paired with the rank of the anchor's whole slice, all strings of ``length``
-   bytes whose anchor it is: slices equal as a whole are settled here;
-3. of slices that differ but share round 1's rank, every string of ``length`` bytes, whose
-   rank is doubled up from single bytes.
-
-Ranks are 64-bit hashes from round 1 on, paired with a second one in rounds 2 and 3.
+1. the slice of an anchor, all strings of ``length`` bytes whose anchor it is: they share the
+   ``length - SPAN + 1`` bytes from the anchor on, whose rank drops slices that are unique;
+2. of slices that share that rank but differ, the strings that start in the same WIDTH
+   places before the anchor, which share ``length - WIDTH + 1`` bytes;
+3. of those, the single strings.
+
+In each round, pieces whose whole texts are equal too are settled: all but the first repeat.
+Ranks are 64-bit hashes; a piece is known by the pair of its common and its whole text's rank.
 """
 
 from __future__ import annotations
@@ -25,10 +26,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import durable, keyed
+from .common import durable, keyed, split_by_keys, stored, without_copies
 from .textgrid import chunks, mix, powers, raw
 
 GRAM = 16
+#: Starts that are one piece in round 2.
+WIDTH = 8
 _A = np.random.default_rng(11).integers(1, 2**63, 256, dtype=np.int64).astype(np.uint64)
 _B = np.random.default_rng(12).integers(1, 2**63, 256, dtype=np.int64).astype(np.uint64)
 U = np.uint64
@@ -66,7 +69,7 @@ def sliding_least(x: np.ndarray, width: int) -> np.ndarray:
 
 
 def slices(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
-    """(text, first start, starts, rank 1, rank 2) of each anchor's slice in a chunk of texts."""
+    """(text, first start, starts * span + anchor's place, rank, whole rank) of each anchor's slice in a chunk of texts."""
     empty = np.zeros(0, np.int64)
     if len(data) < length:
         return empty, empty, empty, empty.astype(U), empty.astype(U)
@@ -87,7 +90,7 @@ def slices(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarr
     n = np.diff(np.append(at, len(start)))
     first = h.of(a, a + (length - span + 1))
     second = mix(h.of(lo, lo + n - 1 + length) ^ (n.astype(U) << U(20)) ^ (a - lo).astype(U))
-    return text[at], lo - offsets[text[at]], n, first, second
+    return text[at], lo - offsets[text[at]], n * span + (a - lo), first, second
 
 
 def _rows(batches: Iterator[pa.RecordBatch], length: int, bits: int, only_rank: bool) -> Iterator[pa.RecordBatch]:
@@ -99,19 +102,36 @@ def _rows(batches: Iterator[pa.RecordBatch], length: int, bits: int, only_rank:
             if only_rank:
                 yield pa.RecordBatch.from_arrays([rank], ["k"])
             else:
-                yield pa.RecordBatch.from_arrays([rank, pa.array(second.view(np.int64)), pa.array((key[lo:hi][text] << bits) | start), pa.array(n, pa.int32())], ["k", "s", "pos", "n"])
+                yield pa.RecordBatch.from_arrays([rank, pa.array(second.view(np.int64)), pa.array((key[lo:hi][text] << bits) | start), pa.array(n, pa.int32())], ["k", "s", "pos", "nd"])
 
 
-def _windows(batches: Iterator[pa.RecordBatch], length: int, bits: int) -> Iterator[pa.RecordBatch]:
+def pieces(h: Hashes, g: Hashes, at: np.ndarray, nd: np.ndarray, length: int, width: int) -> tuple[np.ndarray, ...]:
+    """(first start, starts * span + anchor's place, rank, whole rank) of a text's slices cut every ``width`` places before the anchor."""
+    span = span_of(length)
+    n, d = nd // span, nd % span
+    p = np.repeat(at, n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+    a = np.repeat(at + d, n)
+    q = (a - p) // width
+    own = np.repeat(np.arange(len(at)), n)
+    head = np.ones(len(p), bool)
+    head[1:] = (q[1:] != q[:-1]) | (own[1:] != own[:-1])
+    i = np.flatnonzero(head)
+    lo, a, q, n = p[i], a[i], q[i], np.diff(np.append(i, len(p)))
+    core = a - q * width
+    first = mix(h.of(core, core - (width - 1) + length) ^ q.astype(U))
+    second = mix(g.of(lo, lo + n - 1 + length) ^ (n.astype(U) << U(20)) ^ (a - lo).astype(U))
+    return lo, n * span + (a - lo), first, second
+
+
+def _pieces(batches: Iterator[pa.RecordBatch], length: int, bits: int, width: int) -> Iterator[pa.RecordBatch]:
     for b in batches:
         key = b.column(0).to_numpy()
         for i in range(len(b)):
             data, _ = raw(b.column(1).slice(i, 1))
-            at = b.column(2).slice(i, 1).flatten().to_numpy()
-            n = b.column(3).slice(i, 1).flatten().to_numpy().astype(np.int64)
-            p = np.repeat(at, n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-            ha, hb = (Hashes(data, t).of(p, p + length).view(np.int64) for t in (_A, _B))
-            yield pa.RecordBatch.from_arrays([pa.array(ha), pa.array(hb), pa.array((int(key[i]) << bits) | p)], ["k", "s", "pos"])
+            at = b.column(2).slice(i, 1).flatten().to_numpy().astype(np.int64)
+            nd = b.column(3).slice(i, 1).flatten().to_numpy().astype(np.int64)
+            lo, more, first, second = pieces(Hashes(data, _A), Hashes(data, _B), at, nd, length, width)
+            yield pa.RecordBatch.from_arrays([pa.array(first.view(np.int64)), pa.array(second.view(np.int64)), pa.array((int(key[i]) << bits) | lo), pa.array(more, pa.int32())], ["k", "s", "pos", "nd"])
 
 
 def repeated(docs: DataFrame, length: int, bits: int) -> DataFrame:
@@ -119,45 +139,45 @@ def repeated(docs: DataFrame, length: int, bits: int) -> DataFrame:
 
     ``docs(key, text)`` with a unique key whose order is the documents'.
     """
+    span = span_of(length)
     texts = docs.where(F.octet_length("text") >= length).select("key", "text")
-    # round 1: positions whose rank is unique drop out
     ranks = texts.mapInArrow(lambda it: _rows(it, length, bits, True), "k long")
     shared = ranks.groupBy("k").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("k")
-    rows = texts.mapInArrow(lambda it: _rows(it, length, bits, False), "k long, s long, pos long, n int")
-    rows = durable(rows.join(shared.hint("shuffle_hash"), "k"))
-    # round 2: equal slices
-    groups = durable(rows.groupBy("k", "s").agg(F.min("pos").alias("first"), F.min("n").alias("n"), F.count(F.lit(1)).alias("c")))
-    later = rows.join(groups.where("c > 1").select("k", "s", "first"), ["k", "s"]).where("pos <> first").select("pos", "n")
-    # round 3: slices that share only round 1's rank, byte by byte
-    mixed = groups.groupBy("k").agg(F.min("s").alias("lo"), F.max("s").alias("hi")).where("lo <> hi").select("k")
-    open_ = groups.join(mixed, "k").select(F.shiftright("first", bits).alias("_key"), F.col("first").bitwiseAND((1 << bits) - 1).alias("at"), "n")
-    lists = open_.groupBy("_key").agg(F.collect_list(F.struct("at", "n")).alias("l"))  # at most a text's own slices
-    marked = texts.join(lists, F.col("key") == F.col("_key")).select("key", "text", F.col("l.at").alias("at"), F.col("l.n").alias("n"))
-    single = marked.mapInArrow(lambda it: _windows(it, length, bits), "k long, s long, pos long")
-    single = durable(single)
-    twice = single.groupBy("k", "s").agg(F.min("pos").alias("first"), F.count(F.lit(1)).alias("c")).where("c > 1").select("k", "s", "first")
-    ends = single.join(twice, ["k", "s"]).where("pos <> first").select("pos", F.lit(1).alias("n"))
-    return later.unionByName(ends)
+    rows = texts.mapInArrow(lambda it: _rows(it, length, bits, False), "k long, s long, pos long, nd int")
+    rows = stored(rows.join(shared.hint("shuffle_hash"), "k"))
+    found = None
+    for width in (WIDTH, 1, 0):
+        groups = rows.groupBy("k", "s").agg(F.min("pos").alias("first"), F.min("nd").alias("nd"), F.count(F.lit(1)).alias("c"))
+        groups = stored(groups)
+        later = rows.join(groups.where("c > 1").select("k", "s", "first"), ["k", "s"]).where("pos <> first").select("pos", (F.col("nd") / span).cast("int").alias("n"))
+        found = later if found is None else found.unionByName(later)
+        if not width:
+            break
+        # what shares the common text but not the whole goes on in smaller pieces
+        mixed = groups.groupBy("k").agg(F.min("s").alias("lo"), F.max("s").alias("hi")).where("lo <> hi").select("k")
+        open_ = groups.join(mixed, "k").select(F.shiftright("first", bits).alias("_key"), F.col("first").bitwiseAND((1 << bits) - 1).alias("at"), "nd")
+        lists = durable(open_.groupBy("_key").agg(F.collect_list(F.struct("at", "nd")).alias("l")))  # at most a text's own pieces
+        likely, _ = split_by_keys(texts, "key", lists, "_key")
+        marked = likely.join(lists, F.col("key") == F.col("_key")).select("key", "text", F.col("l.at").alias("at"), F.col("l.nd").alias("nd"))
+        rows = stored(marked.mapInArrow(lambda it, width=width: _pieces(it, length, bits, width), "k long, s long, pos long, nd int"))
+    return found
 
 
 def _cut(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        out = [[], [], [], []]
+        out = [[], [], []]
         for i in range(len(b)):
-            data, _ = raw(b.column("text").slice(i, 1))
-            n_spans, kept = 0, data
-            if b.column("at")[i].is_valid:
-                at = b.column("at").slice(i, 1).flatten().to_numpy()
-                n = b.column("n").slice(i, 1).flatten().to_numpy().astype(np.int64)
-                cover = np.zeros(len(data) + 1, np.int64)
-                np.add.at(cover, at, 1)
-                np.add.at(cover, at + n - 1 + length, -1)
-                gone = np.cumsum(cover[:-1]) > 0
-                n_spans = int((gone[1:] & ~gone[:-1]).sum() + gone[0])
-                kept = data[~gone]
-            for col, v in zip(out, (len(data), len(data) - len(kept), n_spans, hashlib.sha256(kept.tobytes()).hexdigest()), strict=True):
+            data, _ = raw(b.column(1).slice(i, 1))
+            at = b.column(2).slice(i, 1).flatten().to_numpy()
+            n = b.column(3).slice(i, 1).flatten().to_numpy().astype(np.int64)
+            cover = np.zeros(len(data) + 1, np.int64)
+            np.add.at(cover, at, 1)
+            np.add.at(cover, at + n - 1 + length, -1)
+            gone = np.cumsum(cover[:-1]) > 0
+            kept = data[~gone]
+            for col, v in zip(out, (len(data) - len(kept), int((gone[1:] & ~gone[:-1]).sum() + gone[0]), hashlib.sha256(kept.tobytes()).hexdigest()), strict=True):
                 col.append(v)
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+        yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.string()), strict=True))], ["_key", "removed", "spans", "sha"])
 
 
 def remove_repeats(docs: DataFrame, length: int = 100) -> DataFrame:
@@ -165,11 +185,26 @@ def remove_repeats(docs: DataFrame, length: int = 100) -> DataFrame:
 
     Earlier is a smaller doc_id, or the same document and an earlier start; null ids come
     first, and rows with equal ids in any one order. Null and empty texts have no bytes.
+    Later copies of equal texts of at least ``length`` bytes go whole and are not searched.
     Further columns are ignored.
     """
     longest = docs.agg(F.max(F.octet_length("text"))).first()[0] or 0
     bits = max(1, int(longest).bit_length())
     base = keyed(docs, ["doc_id", "text"], most=1 << (62 - bits))
-    lists = repeated(base, length, bits).groupBy(F.shiftright("pos", bits).alias("_key")).agg(F.collect_list(F.struct(F.col("pos").bitwiseAND((1 << bits) - 1).alias("at"), "n")).alias("l"))
-    out = base.join(lists, F.col("key") == F.col("_key"), "left").select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("l.at").alias("at"), F.col("l.n").alias("n"))
-    return out.mapInArrow(lambda it: _cut(it, length), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    texts, copies = without_copies(base)
+    runs = repeated(texts, length, bits)
+    lists = durable(runs.groupBy(F.shiftright("pos", bits).alias("_key")).agg(F.collect_list(F.struct(F.col("pos").bitwiseAND((1 << bits) - 1).alias("at"), "n")).alias("l")))
+    likely, _ = split_by_keys(base.select("key", "text"), "key", lists, "_key")
+    cut = likely.join(lists, F.col("key") == F.col("_key")).select("key", "text", F.col("l.at").alias("at"), F.col("l.n").alias("n"))
+    cut = cut.mapInArrow(lambda it: _cut(it, length), "_key long, removed long, spans long, sha string")
+    text = F.coalesce("text", F.lit(""))
+    out = base.select("key", F.col("doc_id").cast("long").alias("doc_id"), F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text.cast("binary"), 256).alias("own"))
+    out = out.join(cut, F.col("key") == F.col("_key"), "left").join(copies.select("copy"), F.col("key") == F.col("copy"), "left")
+    whole = F.col("copy").isNotNull() & (F.col("n_bytes") >= length)
+    return out.select(
+        "doc_id",
+        "n_bytes",
+        F.when(whole, F.col("n_bytes")).otherwise(F.coalesce("removed", F.lit(0))).cast("long").alias("n_removed"),
+        F.when(whole, 1).otherwise(F.coalesce("spans", F.lit(0))).cast("long").alias("n_spans"),
+        F.when(whole, F.lit(hashlib.sha256(b"").hexdigest())).otherwise(F.coalesce("sha", "own")).alias("kept_sha256"),
+    )
