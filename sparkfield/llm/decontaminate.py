@@ -86,7 +86,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, k: in
     new = F.greatest(F.lit(0), end - F.greatest(F.col("i"), F.coalesce(F.max(end).over(before), F.lit(0))))
     covered = spans.select("doc_id", "tkey", new.alias("new")).groupBy("doc_id", "tkey").agg(F.sum("new").alias("n_hit"))
     named = found.select("doc_id", "tkey", F.col("item_id").cast("string").alias("item")).distinct()
-    named = named.groupBy("doc_id", "tkey").agg(F.count(F.lit(1)).alias("n_items"), F.concat_ws(",", F.array_sort(F.collect_list("item"))).alias("items"))
+    named = named.groupBy("doc_id", "tkey").agg(F.count("item").alias("n_items"), F.concat_ws(",", F.array_sort(F.collect_list("item"))).alias("items"))
     known = covered.withColumnsRenamed({"doc_id": "_d", "tkey": "_t"})
     named = named.withColumnsRenamed({"doc_id": "_d2", "tkey": "_t2"})
     known = known.join(named, F.col("_d").eqNullSafe(F.col("_d2")) & (F.col("_t") == F.col("_t2")), "left").drop("_d2", "_t2")

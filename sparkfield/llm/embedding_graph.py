@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .common import components, durable
+from .textgrid import tidy
 
 #: Vectors the centroids are fitted on, at most.
 SAMPLE = 20_000
@@ -51,6 +52,7 @@ def centroids(sample: np.ndarray, k: int, turns: int = 8, seed: int = 3) -> np.n
     return c
 
 
+@tidy
 def _assign(batches: Iterator[pa.RecordBatch], c: np.ndarray) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for lo in range(0, len(b), 4096):
@@ -180,6 +182,11 @@ def valid(e):
     return F.coalesce(fine & F.exists(e, lambda v: v != 0), F.lit(False))
 
 
+def _block_pairs(block, m: int):
+    """Numbers of the tasks in which a block meets each other one."""
+    return F.transform(F.filter(F.sequence(F.lit(0), F.lit(m - 1)), lambda o: o != block), lambda o: F.least(o, block) * m + F.greatest(o, block))
+
+
 def links(vectors: DataFrame, least: float) -> DataFrame:
     """Found links (a, b), a < b, between rows of ``vectors(node, e)``; nodes are unique, vectors differ and have one length."""
     total = vectors.count()
@@ -194,7 +201,7 @@ def links(vectors: DataFrame, least: float) -> DataFrame:
     task = F.array(F.lit(-1))
     for shard, m in parts.items():
         block = F.pmod(F.xxhash64("node", F.lit(1)), F.lit(m)).cast("int")
-        task = F.when(F.col("shard") == shard, F.transform(F.filter(F.sequence(F.lit(0), F.lit(m - 1)), lambda o, b=block: o != b), lambda o, b=block, m=m: F.least(o, b) * m + F.greatest(o, b))).otherwise(task)
+        task = F.when(F.col("shard") == shard, _block_pairs(block, m)).otherwise(task)
     assigned = durable(assigned.select("node", "shard", F.explode(task).alias("task")))
     placed = assigned.join(vectors.select("node", "e"), "node")
     lists = placed.groupBy("shard", "task").applyInArrow(_built, "node long, near array<bigint>")

@@ -18,6 +18,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from .textgrid import tidy
+
 TOKEN = re.compile(r"""<!--(?:.*?-->|.*\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>""", re.S)
 ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role|hidden|style)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q s samp small span strike strong sub sup time tt u var wbr".split())
@@ -365,6 +367,7 @@ def main_text(field: Field, html: str | None) -> str:
     return "\n\n".join(b.text for b, y in zip(page, viterbi(field, features(page)), strict=True) if y)
 
 
+@tidy
 def _extract(batches: Iterator[pa.RecordBatch], field: Field) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for lo in range(0, len(b), 200):

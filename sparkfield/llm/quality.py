@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .textgrid import Words, chunks
+from .textgrid import Words, chunks, tidy
 
 HASH_BITS = 16
 STATS = 20
@@ -126,6 +126,7 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 5 == 0, F.lit(False))
 
 
+@tidy
 def _sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for lo, hi in chunks(b.column("text")):
@@ -151,7 +152,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int
     known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", F.col(label).cast("int").alias("label")).distinct()
     picked = [known.where(F.col("label") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most // 2) for k in (0, 1)]
     picked = picked[0].unionByName(picked[1])  # at most ``most`` rows, so it may be broadcast
-    rows = docs.where("text is not null").join(F.broadcast(picked), "doc_id").select("label", "text").mapInArrow(_sparse, "label int, f array<int>, v array<float>, s array<double>")
+    rows = docs.where("text is not null").select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("label", "text").mapInArrow(_sparse, "label int, f array<int>, v array<float>, s array<double>")
     parts, y = [], []
     for r in rows.toLocalIterator():
         parts.append((np.array(r.f, np.int64), np.array(r.v, float), np.array(r.s, float)))
@@ -164,6 +165,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int
     return fit(parts, y)
 
 
+@tidy
 def _score(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
     for b in batches:
         texts = b.column(b.schema.names.index("text"))
@@ -202,9 +204,9 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> Dat
 
     def good(batches):
         for b in batches:
-            texts = b.column(b.schema.names.index("text"))
-            keep = [raw_scores(held.value, *featurize(texts.slice(lo, hi - lo))) for lo, hi in chunks(texts)]
-            z = np.concatenate([np.zeros(0), *keep])
-            yield b.filter(pa.array(1 / (1 + np.exp(-np.clip(z, -30, 30))) >= threshold))
+            for lo, hi in chunks(b.column(b.schema.names.index("text"))):
+                part = b.slice(lo, hi - lo)
+                z = raw_scores(held.value, *featurize(part.column(b.schema.names.index("text"))))
+                yield part.filter(pa.array(1 / (1 + np.exp(-np.clip(z, -30, 30))) >= threshold))
 
     return docs.select(*others, "text").mapInArrow(good, docs.select(*others, "text").schema).select(*schema.names)

@@ -8,13 +8,32 @@ Words are ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` after lower-casing A-Z.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
+from contextlib import suppress
+from ctypes import CDLL
+from functools import lru_cache, wraps
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
 U64 = np.uint64
+
+
+def tidy(f):
+    """For generators that are a worker's task: give freed memory back at the end, as workers are reused."""
+
+    @wraps(f)
+    def g(*args, **kw):
+        try:
+            yield from f(*args, **kw)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with suppress(OSError, AttributeError):  # not every C library has it
+                CDLL("libc.so.6").malloc_trim(0)
+
+    return g
+
+
 _BYTE = np.random.default_rng(20240601).integers(1, 2**63, 256, dtype=np.int64).astype(U64) * U64(2) + U64(1)
 _BASE, _FIVE = U64(0x9E3779B97F4A7C15), U64(0xD6E8FEB86659FD93)
 
