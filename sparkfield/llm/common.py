@@ -8,25 +8,41 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql import Window as W
 
+from sparkfield.plans.ship import ship
+
 #: Every byte that is not part of a word once A-Z is lower-cased.
 NON_WORD = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+#: Rows per Arrow batch: a few MB of texts, so that workers and executors hold little at a time.
+BATCH_ROWS = "2000"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """An input table; the session's workers get the package and small Arrow batches."""
+    ship(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def durable(df: DataFrame) -> DataFrame:
+#: Rows of a small table that go into one partition.
+PART_ROWS = 50_000
+
+
+def durable(df: DataFrame, rows: int | None = None) -> DataFrame:
     """Cut the lineage through the shared checkpoint folder, so lost executors cost no rerun.
 
+    With a bound on its ``rows``, the table gets no more partitions than it needs: otherwise
+    loops over small tables would fill disks with tiny files.
+
     The folder comes from ``spark.checkpoint.dir``; only where that is unset (tests) a
     temporary one is taken.
     """
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="sparkfield-ckpt-"))
-    return df.checkpoint()
+    return (df if rows is None else df.coalesce(rows // PART_ROWS + 4)).checkpoint()
 
 
 def ascii_lower(col):
@@ -64,14 +80,15 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """
     edges = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct()
     edges = durable(edges)
-    seen = None
+    rows, seen = edges.count(), None
+    edges = edges.coalesce(rows // PART_ROWS + 4)
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
-        edges = durable(small.where("u <> v").distinct())
+        edges = durable(small.where("u <> v").distinct(), rows)
         state = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == seen:
             break
