@@ -39,7 +39,7 @@ def grant(demand: dict[tuple[int, int, int], int], sizes: list[int], free: list[
     return given
 
 
-def balanced_label_propagation(nodes: DataFrame, total: int, n_shards: int = 16, rounds: int = 4) -> DataFrame:
+def balanced_label_propagation(nodes: DataFrame, total: int, n_shards: int = 16, rounds: int = 6) -> DataFrame:
     """Assign ``nodes(uid, grp, ...)`` to shards whose row counts differ by at most one.
 
     ``uid`` is unique; documents with the same non-null ``grp`` are linked. Null groups and
@@ -58,7 +58,8 @@ def balanced_label_propagation(nodes: DataFrame, total: int, n_shards: int = 16,
         # what a shard can take in: the room below its size, and the free rows it can send off later
         free = [counted.get((s, False), 0) + want_size[s] - sizes[s] for s in range(n_shards)]
         held = state.where("_linked").groupBy("grp", "shard").agg(F.count(F.lit(1)).alias("n"))
-        best = held.groupBy("grp").agg(F.max(F.struct("n", (-F.col("shard")).alias("s"))).alias("b")).select("grp", (-F.col("b.s")).alias("_to"), F.col("b.n").alias("_top"))
+        # ties go to shards by a hash, or all groups would want the same ones
+        best = held.groupBy("grp").agg(F.max(F.struct("n", F.xxhash64("grp", "shard").alias("h"), "shard")).alias("b")).select("grp", F.col("b.shard").alias("_to"), F.col("b.n").alias("_top"))
         offers = held.join(best, "grp").where("shard <> _to").select("grp", "shard", "_to", F.least(F.floor(F.log2((F.col("_top") - F.col("n") + 1).cast("double"))), F.lit(GAIN_LEVELS)).cast("int").alias("_gain"), "n")
         demand = {(r.shard, r._to, r._gain): r.n for r in offers.groupBy("shard", "_to", "_gain").agg(F.sum("n").alias("n")).collect()}
         given = {k: n for k, n in grant(demand, sizes, free).items() if n}
@@ -102,7 +103,7 @@ def _level(state: DataFrame, total: int, n_shards: int, want: list[int]) -> Data
     return gapless(state, ["shard"], "uid", "slot", total).drop("_linked")
 
 
-def shard_documents(docs: DataFrame, n_shards: int = 16, rounds: int = 4) -> DataFrame:
+def shard_documents(docs: DataFrame, n_shards: int = 16, rounds: int = 6) -> DataFrame:
     """Put every row of ``docs`` into a shard; documents with equal texts are linked.
 
     The law is ``rows``: shard counts are at most one apart, whatever the texts' sizes. A
