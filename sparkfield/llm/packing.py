@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .common import durable, gapless
-from .textgrid import ALNUM, FOLDED_BYTE, NOT_SPACE, PLAIN_BYTE, PUNCT, Words, chunks
+from .textgrid import ALNUM, FOLDED_BYTE, NOT_SPACE, PLAIN_BYTE, PUNCT, Words, chunks, tidy
 
 PIECES = "doc_id long, start long, length int, ids_crc32 long, doc_tokens long"
 
@@ -38,7 +38,7 @@ class WordEncoder:
 
     MARK = "\x01"
 
-    def __init__(self, path: str, most: int = 2_000_000):
+    def __init__(self, path: str, most: int = 700_000):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
@@ -104,6 +104,7 @@ class WordEncoder:
         return all(list(e.ids) == flat[lo:hi].tolist() for e, lo, hi in zip(whole, at[:-1], at[1:], strict=True))
 
 
+@tidy
 def _pieces(batches: Iterator[pa.RecordBatch], tokenizer: str, end_id: int, window: int) -> Iterator[pa.RecordBatch]:
     import os
 
@@ -114,9 +115,16 @@ def _pieces(batches: Iterator[pa.RecordBatch], tokenizer: str, end_id: int, wind
         tokenizer = public_tokenizers.path(tokenizer)
     coder = WordEncoder(tokenizer)
     end = np.array([end_id], "<u4").tobytes()
+    try:
+        yield from _cut(batches, coder, end, window)
+    finally:  # workers are reused: leave them no larger than they were
+        coder._clear()
+
+
+def _cut(batches: Iterator[pa.RecordBatch], coder: WordEncoder, end: bytes, window: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         doc_ids, texts = batch.column(0).to_pylist(), batch.column(1)
-        for lo, hi in chunks(texts, 4 << 20):
+        for lo, hi in chunks(texts, 2 << 20):
             rows = [[], [], [], [], []]
             flat, at = coder.encode(texts.slice(lo, hi - lo))
             flat = flat.astype("<u4")

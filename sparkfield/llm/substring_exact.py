@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .common import durable, keyed, split_by_keys, stored, without_copies
-from .textgrid import chunks, mix, powers, raw
+from .textgrid import chunks, mix, powers, raw, tidy
 
 GRAM = 16
 #: Starts that are one piece in round 2.
@@ -93,6 +93,7 @@ def slices(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarr
     return text[at], lo - offsets[text[at]], n * span + (a - lo), first, second
 
 
+@tidy
 def _rows(batches: Iterator[pa.RecordBatch], length: int, bits: int, only_rank: bool) -> Iterator[pa.RecordBatch]:
     for b in batches:
         key = b.column(0).to_numpy()
@@ -123,6 +124,7 @@ def pieces(h: Hashes, g: Hashes, at: np.ndarray, nd: np.ndarray, length: int, wi
     return lo, n * span + (a - lo), first, second
 
 
+@tidy
 def _pieces(batches: Iterator[pa.RecordBatch], length: int, bits: int, width: int) -> Iterator[pa.RecordBatch]:
     for b in batches:
         key = b.column(0).to_numpy()
@@ -163,6 +165,7 @@ def repeated(docs: DataFrame, length: int, bits: int) -> DataFrame:
     return found
 
 
+@tidy
 def _cut(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     for b in batches:
         out = [[], [], []]
