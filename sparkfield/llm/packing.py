@@ -38,7 +38,7 @@ class WordEncoder:
 
     MARK = "\x01"
 
-    def __init__(self, path: str, most: int = 700_000):
+    def __init__(self, path: str, most: int = 250_000):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
@@ -124,7 +124,7 @@ def _pieces(batches: Iterator[pa.RecordBatch], tokenizer: str, end_id: int, wind
 def _cut(batches: Iterator[pa.RecordBatch], coder: WordEncoder, end: bytes, window: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         doc_ids, texts = batch.column(0).to_pylist(), batch.column(1)
-        for lo, hi in chunks(texts, 2 << 20):
+        for lo, hi in chunks(texts, 1 << 19):
             rows = [[], [], [], [], []]
             flat, at = coder.encode(texts.slice(lo, hi - lo))
             flat = flat.astype("<u4")

@@ -47,7 +47,7 @@ class Hashes:
 
     def __init__(self, data: np.ndarray, byte: np.ndarray):
         n = len(data)
-        p, self.inverse = powers(1 << max(20, int(n).bit_length()))
+        p, self.inverse = powers(1 << max(19, int(n).bit_length()))
         self.run = np.zeros(n + 1, U)
         np.cumsum(byte[data] * p[:n], out=self.run[1:])
 

@@ -73,7 +73,7 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
-def chunks(texts: pa.Array, most: int = 2 << 20) -> Iterator[tuple[int, int]]:
+def chunks(texts: pa.Array, most: int = 1 << 19) -> Iterator[tuple[int, int]]:
     """Ranges of whole texts of about ``most`` bytes."""
     if not len(texts):
         return
@@ -121,7 +121,7 @@ class Words:
         ends[hi] |= inside[1:-1][hi]
         self.start, self.end = np.flatnonzero(starts), np.flatnonzero(ends) + 1
         if n:
-            p, q = powers(1 << max(20, int(n).bit_length()))
+            p, q = powers(1 << max(19, int(n).bit_length()))
             run = np.zeros(n + 1, U64)
             np.cumsum(byte_hash[data] * p[:n], out=run[1:])
             self.hash = mix((run[self.end] - run[self.start]) * q[self.start])
