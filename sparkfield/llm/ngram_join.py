@@ -1,11 +1,13 @@
 """N-gram Jaccard join with Bayesian candidate pruning.
 
 Texts are sets of five-word shingles. MinHash bands deal them into buckets. Pairs in small
-buckets are all candidates; a large bucket is compared with pivots instead, one after the
-other, and only across the components found so far, so a group of n near copies costs about
-n comparisons a round. A candidate pair's MinHash values are compared a block at a time
-and it is dropped when the posterior probability of reaching the threshold is below the
-tolerance; what is left is verified on the exact shingle sets.
+buckets are all candidates. For the classes, a large bucket is compared with pivots, one
+after the other, and only across the components found so far, so a group of n near copies
+costs about n comparisons a round. For the number of links, all pairs of the texts that
+large buckets connect are compared in pairs of blocks, which give counts and no pair rows.
+A candidate pair's MinHash values are compared a block at a time and it is dropped when the
+posterior probability of reaching the threshold is below the tolerance; what is left is
+verified on the exact shingle sets.
 
 Texts are told apart by a 64-bit hash: with n different texts some two are confused with
 probability n^2 / 2^65 (1e-9 for a hundred thousand).
@@ -28,8 +30,8 @@ BANDS, ROWS = 36, 7
 HASHES = BANDS * ROWS
 #: Largest bucket whose pairs are all candidates; larger ones go by pivots, so many times beyond the first.
 SMALL, PIVOTS = 8, 1
-#: Rows of a bucket that one task takes.
-TASK = 2048
+#: Texts of a block, and bytes of their shingle sets; a task takes one block or two.
+TASK, TASK_BYTES = 2048, 1 << 26
 BLOCK = 36
 _rng = np.random.default_rng(90210)
 _XOR = _rng.integers(0, 2**32, HASHES, dtype=np.uint32)
@@ -148,6 +150,47 @@ def _cross(table: pa.Table, threshold: float, tolerance: float) -> pa.Table:
     return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "jaccard": pa.array(j, pa.float64())})
 
 
+def _degrees(table: pa.Table, threshold: float, tolerance: float) -> pa.Table:
+    """(node, more): copies of the texts that each one links with, within one block or between the sides of two.
+
+    Only pairs that share a bucket are looked at, each once.
+    """
+    node, side, copies = (table.column(c).to_numpy() for c in ("node", "side", "copies"))
+    sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint8).reshape(len(node), HASHES)
+    bands = np.zeros((len(node), BANDS, 8), np.uint8)
+    bands[:, :, :ROWS] = sig.reshape(len(node), BANDS, ROWS)
+    bands = bands.view(np.uint64)[:, :, 0]
+    sets = [np.frombuffer(g.as_buffer(), np.uint64) for g in table.column("grams").combine_chunks()]
+    sizes = np.array([len(g) for g in sets])
+    all_grams, ids = np.unique(np.concatenate(sets), return_inverse=True)
+    sets = np.split(ids.astype(np.int32), np.cumsum(sizes)[:-1])
+    own = np.zeros(len(all_grams), np.int32)
+    least = least_matches(threshold, tolerance)
+    two = table.column("x")[0].as_py() != table.column("y")[0].as_py()
+    more = np.zeros(len(node), np.int64)
+    right = np.flatnonzero(side == 1)
+    for i in np.flatnonzero(side == 0):
+        others = right if two else np.arange(i + 1, len(node))
+        others = others[(bands[others] == bands[i]).any(1)]
+        if not len(others):
+            continue
+        same = sig[others] == sig[i]
+        matches = np.zeros(len(others), np.int64)
+        for k, need in enumerate(least):
+            matches += same[:, k * BLOCK : (k + 1) * BLOCK].sum(1)
+            others, same, matches = (v[matches >= need] for v in (others, same, matches))
+        if not len(others):
+            continue
+        own[sets[i]] = 1
+        at = np.cumsum(sizes[others]) - sizes[others]
+        both = np.add.reduceat(own[np.concatenate([sets[o] for o in others])], at)
+        own[sets[i]] = 0
+        linked = others[both / (sizes[i] + sizes[others] - both) >= threshold]
+        more[i] += copies[linked].sum()
+        more[linked] += copies[i]
+    return pa.table({"node": pa.array(node, pa.int64()), "more": pa.array(more, pa.int64())})
+
+
 def jaccard(p: np.ndarray, q: np.ndarray) -> float:
     """Of two sets as sorted arrays."""
     if len(p) > len(q):
@@ -176,11 +219,12 @@ def node_of(text="text"):
     return F.when(F.col(text).isNotNull(), F.xxhash64(text))
 
 
-def text_links(docs: DataFrame, threshold: float = 0.8, shingle: int = 5, tolerance: float = 1e-4) -> DataFrame:
-    """Verified links (a, b, jaccard) between different texts, a < b, by node_of(text).
+def text_links(docs: DataFrame, threshold: float = 0.8, shingle: int = 5, tolerance: float = 1e-4) -> tuple[DataFrame, DataFrame]:
+    """Verified links (a, b, jaccard) between different texts, a < b, by node_of(text), and large groups (node, root, sig, grams).
 
-    Complete between texts of small buckets; in large groups, enough to connect what is
-    connected. A text of fewer words than a shingle, but not none, is one shingle.
+    Links are complete but for pairs within one large group (texts that buckets of more than
+    SMALL connect), where they are enough to connect what is connected. A text of fewer words
+    than a shingle, but not none, is one shingle.
     """
     texts = docs.where("text is not null").select(node_of().alias("node"), "doc_id", F.col("text").cast("string").alias("text"))
     bands = stored(texts.select("node", "text").mapInArrow(lambda it: _bands(it, shingle), "band long, node long"))
@@ -247,25 +291,42 @@ def text_links(docs: DataFrame, threshold: float = 0.8, shingle: int = 5, tolera
     block = F.when(F.col("comp") == F.col("major"), F.array(F.pmod(F.xxhash64("node"), m).cast("int"))).otherwise(F.sequence(F.lit(0), m - 1))
     dealt = nodes.join(parts, "root").select("root", "node", "comp", "major", F.explode(block).alias("block")).join(sets, "node")
     rest = dealt.groupBy("root", "block").applyInArrow(lambda t: _cross(t, threshold, tolerance), "a long, b long, jaccard double")
-    return durable(links.unionByName(rest).distinct(), rows)
+    links = durable(links.unionByName(rest).distinct(), rows)
+    group = components(many.where("node <> pivot").select("node", "pivot").distinct(), "node", "pivot").dropDuplicates(["node"])
+    return links, durable(group, rows).join(sets, "node")
+
+
+def group_degrees(groups: DataFrame, copies: DataFrame, threshold: float, tolerance: float) -> DataFrame:
+    """(node, more): copies of the other texts of its large group that each one links with."""
+    rows = groups.join(copies.select("node", "copies"), "node")
+    m = F.ceil(F.greatest(F.count(F.lit(1)) / TASK, F.sum(F.length("grams")) / TASK_BYTES)).cast("int").alias("m")
+    own, other = F.col("own"), F.col("other")
+    rows = rows.join(groups.groupBy("root").agg(m), "root").withColumn("own", F.pmod(F.xxhash64("node"), F.col("m")).cast("int"))
+    dealt = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
+    dealt = dealt.select("root", F.least(own, other).alias("x"), F.greatest(own, other).alias("y"), (own > other).cast("int").alias("side"), "node", "copies", "sig", "grams")
+    found = dealt.groupBy("root", "x", "y").applyInArrow(lambda t: _degrees(t, threshold, tolerance), "node long, more long")
+    return found.groupBy("node").agg(F.sum("more").alias("more"))
 
 
 def classes(docs: DataFrame, threshold: float = 0.8, shingle: int = 5, tolerance: float = 1e-4) -> DataFrame:
     """Every row of ``docs(doc_id, text)`` with its class and links.
 
     class_id is the smallest doc_id connected by links, n_links the number of other documents
-    linked directly: those with the same text and, by verified similarity, with another (in
-    groups of more than ``SMALL`` near copies, those compared). Null texts link with nothing;
-    equal texts link with each other, empty ones too; repeated rows are documents of their
+    linked directly: those with the same text and, by verified similarity, with another, in
+    groups of every size. Null texts link with nothing; equal texts link with each other, empty ones too; repeated rows are documents of their
     own; null ids stay null and give no class id unless a class has no other.
     """
-    links = text_links(docs, threshold, shingle, tolerance)
+    links, groups = text_links(docs, threshold, shingle, tolerance)
     base = docs.select("doc_id", node_of().alias("node"))
     known = base.where("node is not null").groupBy("node").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("least"))
     root = components(links).dropDuplicates(["node"])
     known = durable(known.join(root, "node", "left").withColumn("root", F.coalesce("root", "node")))
-    ends = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    degree = ends.join(known.select(F.col("node").alias("b"), "copies"), "b").groupBy(F.col("a").alias("node")).agg(F.sum("copies").alias("more"))
+    # pairs within one large group are counted there
+    of = groups.select("node", "root")
+    apart = links.join(of.toDF("a", "ra"), "a", "left").join(of.toDF("b", "rb"), "b", "left").where(~F.coalesce(F.col("ra") == F.col("rb"), F.lit(False)))
+    ends = apart.select("a", "b").unionByName(apart.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+    degree = ends.join(known.select(F.col("node").alias("b"), "copies"), "b").select(F.col("a").alias("node"), F.col("copies").alias("more"))
+    degree = degree.unionByName(durable(group_degrees(groups, known, threshold, tolerance))).groupBy("node").agg(F.sum("more").alias("more"))
     smallest = known.groupBy("root").agg(F.min("least").alias("class_id"))
     known = known.join(smallest, "root").join(degree, "node", "left").select("node", "class_id", (F.col("copies") - 1 + F.coalesce("more", F.lit(0))).alias("n_links"))
     out = base.join(known, "node", "left")

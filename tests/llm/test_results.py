@@ -97,6 +97,18 @@ def test_ngram_classes_equal_brute_force(family):
     assert len(wrong) <= 1  # a pair right at the threshold may escape the bands
 
 
+@pytest.mark.parametrize("task", [2048, 20])
+def test_ngram_links_equal_brute_force(make, monkeypatch, task):
+    monkeypatch.setattr(ngram_join, "TASK", task)
+    base = prose(50, 150)
+    rows = [(i, near(base, i, 0.01 + 0.00015 * i)) for i in range(60)] + [(60, near(base, 0, 0.01)), (61, prose(51, 90))]
+    sets = {i: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} for i, w in ((i, words(t)) for i, t in rows)}
+    want = {a: sum(a != b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) for b in sets) for a in sets}
+    got = {r.doc_id: r.n_links for r in ngram_join.classes(make(rows)).collect()}
+    assert max(want.values()) > ngram_join.SMALL and want[61] == 0
+    assert all(got[i] <= want[i] for i in want) and sum(want.values()) - sum(got.values()) <= 2  # one pair at the threshold may escape the bands
+
+
 def test_bayes_bound_keeps_like_pairs():
     least = ngram_join.least_matches(0.8, 1e-4)
     assert least[-1] / ngram_join.HASHES < 0.8 and all(b > a for a, b in zip(least, least[1:], strict=False))
