@@ -8,8 +8,8 @@ Windows of equal min-hash meet at the hash's first occurrence in the corpus; cli
 other and joined along one diagonal, those on which enough hash functions agree are
 candidate passages. Their shingle sets are then compared exactly.
 
-What lies nowhere near its hash's first occurrence is tried again against the first among
-the rest, ROUNDS times in all. A passage that exactly repeats shares all its min-hashes with
+What lies nowhere near its hash's first occurrence is tried again against the next one,
+ROUNDS times in all. Texts already answered ask no more but stay as partners. A passage that exactly repeats shares all its min-hashes with
 its first occurrence, one of Jaccard similarity s each with probability s.
 """
 
@@ -205,13 +205,12 @@ def repeats(base: DataFrame, bits: int, words: int = 50, shingle: int = 5, thres
     rows = texts.mapInArrow(lambda it: _windows(it, shingle, least, bits, False), "k long, pos long, w long")
     rows = stored(rows.join(shared.hint("shuffle_hash"), "k"))
     mask = (1 << bits) - 1
-    found = None
+    found, pool = None, rows  # rows ask, any of the pool may be a partner
     for turn in range(ROUNDS):
-        first = rows.groupBy(F.col("k").alias("_k")).agg(F.min("pos").alias("o"))
-        first = rows.join(first, (F.col("k") == F.col("_k")) & (F.col("pos") == F.col("o"))).select("k", "o", F.col("w").alias("ow"))
+        first = pool.groupBy("k").agg(F.min(F.struct("pos", "w")).alias("_f")).select("k", F.col("_f.pos").alias("o"), F.col("_f.w").alias("ow"))
         left, right = F.shiftright("w", 31), F.col("w").bitwiseAND((1 << 31) - 1)
         oleft, oright = F.shiftright("ow", 31), F.col("ow").bitwiseAND((1 << 31) - 1)
-        rects = rows.join(first.dropDuplicates(["k"]), "k").where("pos <> o").select(
+        rects = rows.join(first, "k").where("pos > o").select(
             F.shiftright("pos", bits).alias("d"),
             F.shiftright("o", bits).alias("p"),
             F.struct(
@@ -235,13 +234,14 @@ def repeats(base: DataFrame, bits: int, words: int = 50, shingle: int = 5, thres
         new = durable(both.mapInArrow(lambda it: _verify(it, least, threshold), "d long, p long, lo int, hi int"))
         found = new if found is None else found.unionByName(new)
         if turn + 1 < ROUNDS:
-            # windows whose centre no verified passage of their text covers, and that are not the first
+            # windows whose centre no verified passage of their text covers, and that come after the first
             covered = new.select(F.col("d").alias("_d"), "lo", "hi")
-            rest = rows.join(first.select("k", "o").dropDuplicates(["k"]), "k").where("pos <> o").select("k", "pos", "w", F.shiftright("pos", bits).alias("_t"), F.col("pos").bitwiseAND(mask).alias("_c"))
+            rest = rows.join(first.select("k", "o"), "k").where("pos > o").select("k", "pos", "w", F.shiftright("pos", bits).alias("_t"), F.col("pos").bitwiseAND(mask).alias("_c"))
             rest = rest.join(covered, (F.col("_t") == F.col("_d")) & F.col("_c").between(F.col("lo"), F.col("hi")), "left_anti").select("k", "pos", "w")
             rows = stored(rest)
             if rows.isEmpty():
                 break
+            pool = pool.join(first.select("k", "o"), "k").where("pos > o").select("k", "pos", "w")
     return found.distinct()
 
 

@@ -155,6 +155,23 @@ def test_passages_find_every_exact_repeat(family, texts, make):
     assert all(got[i].n_removed == 0 for i in range(200, 240))
 
 
+def edited(text, *places):
+    return " ".join(f"changed{k}" if k in places else w for k, w in enumerate(text.split(" ")))
+
+
+def test_passages_follow_a_chain_of_edits(make):
+    rows, n = [], 15
+    for i in range(n):
+        p = prose(700 + i, 120)
+        for k, t in enumerate((p, edited(p, 24, 72), edited(p, 24, 72, 48, 96))):
+            rows.append((100 * k + i, t))
+    sets = {i: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} for i, w in ((i, words(t)) for i, t in rows)}
+    like = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+    assert all(like(i, 100 + i) >= 0.8 and like(100 + i, 200 + i) >= 0.8 and like(i, 200 + i) < 0.75 for i in range(n))
+    got = {r.doc_id: r for r in passages.passage_report(make(rows)).collect()}
+    assert all(got[100 * k + i].class_id == i and (got[100 * k + i].n_removed >= 100) == (k > 0) for i in range(n) for k in range(3))
+
+
 def test_removed_passages_keep_the_rest(family):
     df, rows = family
     got = {r.doc_id: r.text for r in passages.remove_passages(df.where("doc_id >= 100")).collect()}
