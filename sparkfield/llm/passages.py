@@ -25,7 +25,8 @@ from .common import components, durable, keyed, split_by_keys, stored, without_c
 from .substring_exact import sliding_least
 from .textgrid import Words, chunks, mix, tidy
 
-HASHES, NEED, ROUNDS = 4, 2, 2
+#: A pair of similarity s has fewer than NEED of HASHES min-hashes in common with probability 8e-5 at s = 0.8. HASHES is a power of two.
+HASHES, NEED, ROUNDS = 8, 2, 2
 _rng = np.random.default_rng(4711)
 _XOR = _rng.integers(0, 2**32, HASHES, dtype=np.uint32)
 _MUL = _rng.integers(0, 2**31, HASHES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)

@@ -5,6 +5,7 @@ import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -172,6 +173,19 @@ def test_passages_follow_a_chain_of_edits(make):
     assert all(got[100 * k + i].class_id == i and (got[100 * k + i].n_removed >= 100) == (k > 0) for i in range(n) for k in range(3))
 
 
+def test_passages_recall_of_near_repeats(make):
+    h = passages.HASHES
+    assert sum(comb(h, k) * 0.8**k * 0.2 ** (h - k) for k in range(passages.NEED)) < 1e-4
+    rows = []
+    for i in range(200):
+        p = prose(2000 + i, 60)
+        rows += [(i, prose(3000 + i, 30) + " " + p + " " + prose(4000 + i, 30)), (1000 + i, prose(5000 + i, 30) + " " + edited(p, 30) + " " + prose(6000 + i, 30))]
+    got = {r.doc_id: r.n_removed for r in passages.passage_report(make(rows)).collect()}
+    missed = sum(not got[1000 + i] for i in range(200))
+    print("near passages missed:", missed, "of 200")
+    assert not missed
+
+
 def test_removed_passages_keep_the_rest(family):
     df, rows = family
     got = {r.doc_id: r.text for r in passages.remove_passages(df.where("doc_id >= 100")).collect()}
