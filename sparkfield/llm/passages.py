@@ -143,12 +143,26 @@ def _slices(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.Reco
             yield pa.RecordBatch.from_arrays([*(flat.field(j) for j in range(5)), data], ["d", "p", "n", "role", "lo", "part"])
 
 
-def common_stretches(x: np.ndarray, y: np.ndarray, least: int, threshold: float) -> list[tuple[int, int, int, int]]:
+def common_stretches(x: np.ndarray, y: np.ndarray, least: int, threshold: float, shingle: int = 5) -> list[tuple[int, int, int, int]]:
     """Stretches (first, last, other first, other last) of tokens whose sets have Jaccard similarity of ``threshold``.
 
     From the first to the last common token; while that is too unlike, it is split at its
-    widest gap of tokens not in common.
+    widest gap of tokens not in common. What is shorter than ``least`` may grow to that, by up
+    to a shingle's length on each side, as an edited word changes all shingles at an edge.
     """
+
+    def like(first, last, lo, hi):
+        left, right = np.unique(x[first : last + 1]), np.unique(y[max(0, lo) : hi + 1])
+        both = len(np.intersect1d(left, right, assume_unique=True))
+        return both / (len(left) + len(right) - both)
+
+    def grown(first, last, lo, hi):
+        """The likest way to reach ``least`` tokens."""
+        need = least - (last - first + 1)
+        ways = [(g, need - g) for g in range(max(0, need - shingle), min(need, shingle) + 1)] if need > 0 else [(0, 0)]
+        ways = [(first - g, last + r, lo - g, hi + r) for g, r in ways if first >= g and last + r < len(x)]
+        return max(((like(*w), w) for w in ways), default=(0.0, None))
+
     each, at = np.unique(y, return_index=True)
     place = np.minimum(np.searchsorted(each, x), len(each) - 1) if len(each) else None
     if place is None:
@@ -158,15 +172,14 @@ def common_stretches(x: np.ndarray, y: np.ndarray, least: int, threshold: float)
     out, todo = [], [(0, len(hit))]
     while todo:
         a, b = todo.pop()
-        if b - a < 1 or hit[b - 1] - hit[a] + 1 < least:
+        if b - a < 1 or hit[b - 1] - hit[a] + 1 + 2 * shingle < least:
             continue
         shift = to[a:b] - hit[a:b]
         along = to[a:b][np.abs(shift - np.median(shift)) <= 16 + (b - a) // 8]
         lo, hi = (int(along.min()), int(along.max())) if len(along) else (0, -1)
-        left, right = np.unique(x[hit[a] : hit[b - 1] + 1]), np.unique(y[lo : hi + 1])
-        both = len(np.intersect1d(left, right, assume_unique=True))
-        if both >= threshold * (len(left) + len(right) - both):
-            out.append((int(hit[a]), int(hit[b - 1]), lo, hi))
+        similarity, way = grown(int(hit[a]), int(hit[b - 1]), lo, hi) if len(along) else (0.0, None)
+        if similarity >= threshold:
+            out.append((way[0], way[1], max(0, way[2]), min(way[3], len(y) - 1)))
             continue
         gaps = np.diff(hit[a:b])
         if not len(gaps):
@@ -180,13 +193,13 @@ def common_stretches(x: np.ndarray, y: np.ndarray, least: int, threshold: float)
 
 
 @tidy
-def _verify(batches: Iterator[pa.RecordBatch], least: int, threshold: float) -> Iterator[pa.RecordBatch]:
+def _verify(batches: Iterator[pa.RecordBatch], least: int, threshold: float, shingle: int) -> Iterator[pa.RecordBatch]:
     for b in batches:
         rows = [[] for _ in range(4)]
         d, p, dl, pl, x, y = (b.column(i) for i in range(6))
         for i in range(len(b)):
             a, c = (np.frombuffer(s[i].as_buffer(), np.uint32) for s in (x, y))
-            for lo, hi, olo, ohi in common_stretches(a, c, least, threshold):
+            for lo, hi, olo, ohi in common_stretches(a, c, least, threshold, shingle):
                 lo, hi, olo, ohi = lo + dl[i].as_py(), hi + dl[i].as_py(), olo + pl[i].as_py(), ohi + pl[i].as_py()
                 if d[i].as_py() == p[i].as_py() and olo + (ohi - olo) // 2 >= lo:
                     continue  # a stretch matched with itself
@@ -232,7 +245,7 @@ def repeats(base: DataFrame, bits: int, words: int = 50, shingle: int = 5, thres
         parts = likely.join(asked, F.col("key") == F.col("_key")).select("text", "asked").mapInArrow(lambda it: _slices(it, shingle), "d long, p long, n int, role int, lo int, part binary")
         side = [F.max(F.when(F.col("role") == r, F.col(c))).alias(f"{c}{r}") for c in ("lo", "part") for r in (0, 1)]
         both = parts.groupBy("d", "p", "n").agg(*side).select("d", "p", "lo0", "lo1", "part0", "part1")
-        new = durable(both.mapInArrow(lambda it: _verify(it, least, threshold), "d long, p long, lo int, hi int"))
+        new = durable(both.mapInArrow(lambda it: _verify(it, least, threshold, shingle), "d long, p long, lo int, hi int"))
         found = new if found is None else found.unionByName(new)
         if turn + 1 < ROUNDS:
             # windows whose centre no verified passage of their text covers, and that come after the first

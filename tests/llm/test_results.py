@@ -186,6 +186,18 @@ def test_passages_recall_of_near_repeats(make):
     assert not missed
 
 
+@pytest.mark.parametrize("size", [50, 51, 54, 60])
+def test_stretches_with_an_edit_at_every_word(size):
+    p = prose(800 + size, size)
+    part = lambda t: (textgrid.Words(pa.array([t])).grams(5)[0] >> np.uint64(32)).astype(np.uint32)
+    y = part(prose(801, 12) + " " + p + " " + prose(802, 12))
+    for k in range(size):
+        x = part(prose(803, 12) + " " + edited(p, k) + " " + prose(804, 12))
+        got = passages.common_stretches(x, y, 46, 0.8)
+        assert got and got[0][1] - got[0][0] + 1 >= 46, k
+    assert not passages.common_stretches(part(prose(805, 80)), y, 46, 0.8)
+
+
 def test_removed_passages_keep_the_rest(family):
     df, rows = family
     got = {r.doc_id: r.text for r in passages.remove_passages(df.where("doc_id >= 100")).collect()}
