@@ -1,11 +1,11 @@
-"""Exact substring removal by distributed prefix doubling on sampled suffixes.
+"""Exact substring removal by grouping of content-anchored strings, in place of prefix doubling.
 
-A suffix array of every byte needs a row for each, doubled round after round. Here the
-suffixes are sampled by content first: of each window of SPAN byte positions the one whose
+A suffix array of every byte needs a row for each, doubled round after round. Here nothing is
+doubled or sorted: the suffixes are sampled by content first: of each window of SPAN byte positions the one whose
 gram hash is least is an anchor, so equal strings of ``length`` bytes have an anchor at the
 same place, and a position without an equal anchor is unique at once. The (position, rank)
-table then goes through rounds of growing length, each pairing a rank with that of the text
-beyond it, grouping equal pairs and dropping positions that became unique:
+table then goes through three fixed rounds of growing length, each taking a hash of the longer
+string from the text itself, grouping equal ones and dropping positions that became unique:
 
 1. the slice of an anchor, all strings of ``length`` bytes whose anchor it is: they share the
    ``length - SPAN + 1`` bytes from the anchor on, whose rank drops slices that are unique;
