@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql import Window as W
 
+from sparkfield.plans.durable import folder
 from sparkfield.plans.ship import ship
 
 #: Every byte that is not part of a word once A-Z is lower-cased.
@@ -15,14 +15,18 @@ NON_WORD = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-#: Rows per Arrow batch: a few MB of texts, so that workers and executors hold little at a time.
-BATCH_ROWS = "1000"
+#: Bounds of an Arrow batch, so that workers and executors hold little at a time, however long the texts.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": "8m"}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """An input table; the session's workers get the package and small Arrow batches."""
+    """An input table; the session's workers get the package and small Arrow batches.
+
+    Plans are lazy, so the batch bounds stay set in the session; they change no result.
+    """
     ship(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    for name_, value in BATCH.items():
+        spark.conf.set(name_, value)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -34,14 +38,9 @@ def durable(df: DataFrame, rows: int | None = None) -> DataFrame:
     """Cut the lineage through the shared checkpoint folder, so lost executors cost no rerun.
 
     With a bound on its ``rows``, the table gets no more partitions than it needs: otherwise
-    loops over small tables would fill disks with tiny files.
-
-    The folder comes from ``spark.checkpoint.dir``; only where that is unset (tests) a
-    temporary one is taken.
+    loops over small tables would fill disks with tiny files. The folder is ``spark.checkpoint.dir`` (see ``plans.durable``).
     """
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="sparkfield-ckpt-"))
+    folder(df.sparkSession)
     return (df if rows is None else df.coalesce(rows // PART_ROWS + 4)).checkpoint()
 
 
@@ -134,12 +133,28 @@ def split_by_keys(df: DataFrame, key: str, keys: DataFrame, name: str) -> tuple[
 
 def stored(df: DataFrame) -> DataFrame:
     """Like ``durable``, for large tables: compressed Parquet in the shared checkpoint folder."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="sparkfield-ckpt-"))
-    path = f"{sc.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    path = f"{folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete a ``stored`` table that nothing will read any more."""
+    sc = df.sparkSession.sparkContext
+    path = sc._jvm.org.apache.hadoop.fs.Path(df.stored_at)
+    path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def packed(docs: DataFrame) -> DataFrame:
+    """doc_id, text and ``rest``, a struct of all columns but the text: names that an operator adds cannot clash with theirs."""
+    return docs.select("doc_id", "text", F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "text")).alias("rest"))
+
+
+def unpacked(df: DataFrame, columns: list[str]) -> DataFrame:
+    """The columns that ``packed`` put away, in their order, with the text as it now is."""
+    return df.select(*(F.col("text") if c == "text" else F.col("rest").getField(c).alias(c) for c in columns))
 
 
 def without_copies(base: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -4,13 +4,15 @@ A passage's tokens are its five-word shingles. Under each of HASHES hash functio
 Cartesian tree of a text's token hashes gives compact windows: the stretch around a token in
 which it is the least, so every passage inside that holds the token has it as its min-hash.
 Only windows of at least a passage's length are made, about 2 n / (t + 1) for n tokens.
-Windows of equal min-hash meet at the hash's first occurrence in the corpus; clipped to each
-other and joined along one diagonal, those on which enough hash functions agree are
-candidate passages. Their shingle sets are then compared exactly.
-
-What lies nowhere near its hash's first occurrence is tried again against the next one,
-ROUNDS times in all. Texts already answered ask no more but stay as partners. A passage that exactly repeats shares all its min-hashes with
-its first occurrence, one of Jaccard similarity s each with probability s.
+Equal tokens that are the least of one stretch, as in periodic texts, are one window.
+
+Windows meet by their key: the function and the CONTEXT tokens from the min-hash on, so that
+a common line of a few words brings none together. In STARS rounds each window is clipped to
+its key's first occurrence, the next round to the second; clipped windows along one diagonal
+are a candidate passage, and the shingle sets of candidates are compared exactly. Windows
+that no verified passage covers ask again. What then still asks is compared, in pairs of
+blocks, with all earlier windows of its key, so that nothing is left untried. Answered
+windows stay as partners of later ones.
 """
 
 from __future__ import annotations
@@ -19,14 +21,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from .common import components, durable, keyed, split_by_keys, stored, without_copies
+from .common import components, durable, keyed, packed, split_by_keys, stored, unpacked, without_copies
 from .substring_exact import sliding_least
 from .textgrid import Words, chunks, mix, tidy
 
-#: A pair of similarity s has fewer than NEED of HASHES min-hashes in common with probability 8e-5 at s = 0.8. HASHES is a power of two.
-HASHES, NEED, ROUNDS = 8, 2, 2
+#: A passage of 50 words with a word changed in its middle keeps the CONTEXT of a min-hash with probability 0.65, and of none of HASHES with 2e-4. HASHES is a power of two.
+HASHES, CONTEXT, STARS = 8, 6, 2
 _rng = np.random.default_rng(4711)
 _XOR = _rng.integers(0, 2**32, HASHES, dtype=np.uint32)
 _MUL = _rng.integers(0, 2**31, HASHES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -35,6 +38,8 @@ U = np.uint64
 SLACK = 8
 #: Groups into which one text's requests are dealt.
 SALTS = 256
+#: Windows of a block where all earlier windows of a key are compared, and rows of a task.
+BLOCK, TASK = 512, 4096
 
 
 def nearest_smaller(v: np.ndarray, text: np.ndarray) -> np.ndarray:
@@ -56,8 +61,13 @@ def nearest_smaller(v: np.ndarray, text: np.ndarray) -> np.ndarray:
     return near
 
 
-def compact_windows(grams: np.ndarray, bounds: np.ndarray, least: int):
-    """For each hash function: (function, text, centre, first, last) of the windows of at least ``least`` tokens, as indices in the text."""
+def compact_windows(grams: np.ndarray, bounds: np.ndarray, least: int, apart: int):
+    """For each hash function: (function, text, centre, first, last, last centre) of the windows of at least ``least`` tokens, as indices in the chunk.
+
+    Equal centres less than ``least`` tokens apart within one stretch are one window, from the
+    first to the last of them; what lies ``apart`` or more behind the first is a second one,
+    so that a periodic stretch meets itself.
+    """
     sizes = np.diff(bounds)
     own = np.maximum(0, sizes - least + 1)
     start = np.arange(int(own.sum())) + np.repeat(bounds[:-1] - (np.cumsum(own) - own), own)
@@ -73,7 +83,25 @@ def compact_windows(grams: np.ndarray, bounds: np.ndarray, least: int):
         after = len(v) - 1 - nearest_smaller(v[::-1], text[::-1])[::-1]
         lo = np.where(before >= 0, centre[before] + 1, bounds[text])
         hi = np.where(after < len(v), centre[np.minimum(after, len(v) - 1)] - 1, bounds[text + 1] - 1)
-        yield i, text, centre - bounds[text], lo - bounds[text], hi - bounds[text], grams[centre]
+        by = np.argsort(v >> U(32), kind="stable")  # equal values side by side, in order of place
+        c = centre[by]
+        tied = np.zeros(len(by), bool)
+        tied[1:] = (before[by[1:]] == by[:-1]) & (v[by[1:]] >> U(32) == v[by[:-1]] >> U(32)) & (np.diff(c) < least)
+        far = c - c[np.maximum.accumulate(np.where(tied, 0, np.arange(len(by))))] >= apart
+        head = ~tied
+        head[1:] |= far[1:] & ~far[:-1]
+        at = np.flatnonzero(head)
+        stop = np.append(at[1:], len(by)) - 1
+        yield i, text[by[at]], c[at], lo[by[at]], hi[by[at]], c[stop]
+
+
+def context_keys(grams: np.ndarray, bounds: np.ndarray, centre: np.ndarray, text: np.ndarray, function: int) -> np.ndarray:
+    """Hash of the CONTEXT tokens from each centre on (none beyond the text's end), with the function's number in its last bits."""
+    key = np.zeros(len(centre), U)
+    for j in range(CONTEXT):
+        inside = centre + j < bounds[text + 1]
+        key = key * U(0xD6E8FEB86659FD93) + np.where(inside, grams[np.minimum(centre + j, len(grams) - 1)], U(0))
+    return (mix(key + U(function)) & ~U(HASHES - 1)) | U(function)
 
 
 @tidy
@@ -82,65 +110,70 @@ def _windows(batches: Iterator[pa.RecordBatch], shingle: int, least: int, bits:
         key = b.column(0).to_numpy()
         for lo, hi in chunks(b.column(1), 1 << 19):
             grams, bounds = Words(b.column(1).slice(lo, hi - lo)).grams(shingle)
-            for i, text, c, first, last, gram in compact_windows(grams, bounds, least):
-                k = pa.array(((mix(gram + U(i)) & ~U(HASHES - 1)) | U(i)).view(np.int64))
+            for i, text, c, first, last, tie in compact_windows(grams, bounds, least, least + shingle - 1):
+                k = pa.array(context_keys(grams, bounds, c, text, i).view(np.int64))
                 if only_key:
                     yield pa.RecordBatch.from_arrays([k], ["k"])
                 else:
-                    yield pa.RecordBatch.from_arrays([k, pa.array((key[lo:hi][text] << bits) | c), pa.array(((c - first) << 31) | (last - c))], ["k", "pos", "w"])
+                    pos = (key[lo:hi][text] << bits) | (c - bounds[text])
+                    yield pa.RecordBatch.from_arrays([k, pa.array(pos), pa.array(((c - first) << 31) | (last - tie)), pa.array(tie - c, pa.int32())], ["k", "pos", "w", "m"])
 
 
-def regions(rects: np.ndarray, reach: int) -> list[tuple[int, int, int, int]]:
-    """Candidate passages (first, last, other first, other last) of one pair of texts.
+def regions(pair: np.ndarray, rects: dict[str, np.ndarray], reach: int) -> tuple[np.ndarray, ...]:
+    """Candidate passages (pair, first, last, other first, other last) of pairs of texts.
 
-    ``rects`` has (function, centre, left, right, other centre) rows, already clipped to each
-    other. Neighbours along a diagonal are joined; NEED functions must agree.
+    ``rects`` are windows already clipped to each other: centre ``c`` to ``c + m``, other
+    centre ``oc`` to ``oc + om``, ``l`` and ``r`` tokens to the left and right. Neighbours
+    along a diagonal are joined.
     """
-    out = []
-    order = np.lexsort((rects[:, 1], (rects[:, 1] - rects[:, 4]) // reach))
-    run: list[np.ndarray] = []
-
-    def close():
-        if len({int(r[0]) for r in run}) >= NEED:
-            out.append((min(int(r[1] - r[2]) for r in run), max(int(r[1] + r[3]) for r in run), min(int(r[4] - r[2]) for r in run), max(int(r[4] + r[3]) for r in run)))
-
-    end = None
-    for r in rects[order]:
-        near = run and r[1] - r[2] <= end + SLACK and abs((r[1] - r[4]) - (run[-1][1] - run[-1][4])) <= reach
-        if not near and run:
-            close()
-            run = []
-        end = int(r[1] + r[3]) if not run else max(end, int(r[1] + r[3]))
-        run.append(r)
-    if run:
-        close()
-    return out
+    c, oc = rects["c"], rects["oc"]
+    sides = np.stack([c - rects["l"], c + rects["m"] + rects["r"], oc - rects["l"], oc + rects["om"] + rects["r"]])
+    lane = (c - oc) // reach
+    order = np.lexsort((sides[0], lane, pair))
+    pair, lane, sides = pair[order], lane[order], sides[:, order]
+    new = np.ones(len(pair), bool)
+    new[1:] = (pair[1:] != pair[:-1]) | (lane[1:] != lane[:-1])
+    shift = np.cumsum(new) << 40
+    top = np.maximum.accumulate(sides[1] + shift) - shift
+    new[1:] |= sides[0][1:] > top[:-1] + SLACK
+    at = np.flatnonzero(new)
+    if not len(at):
+        return pair, *sides
+    return pair[at], np.minimum.reduceat(sides[0], at), np.maximum.reduceat(sides[1], at), np.minimum.reduceat(sides[2], at), np.maximum.reduceat(sides[3], at)
 
 
 @tidy
 def _candidates(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        rows = [[] for _ in range(6)]
-        for i in range(len(b)):
-            flat = b.column(2).slice(i, 1).flatten()
-            rects = np.stack([flat.field(j).to_numpy().astype(np.int64) for j in range(5)], axis=1)
-            for n, r in enumerate(regions(rects, least)):
-                for role, lo, hi in ((0, r[0], r[1]), (1, r[2], r[3])):
-                    for col, v in zip(rows, (b.column(0)[i].as_py(), b.column(1)[i].as_py(), n, role, max(0, lo - SLACK), hi + SLACK), strict=True):
-                        col.append(v)
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32()), strict=True)], ["d", "p", "n", "role", "lo", "hi"])
+        flat = pc.list_flatten(b.column(2))
+        rects = {f.name: flat.field(f.name).to_numpy().astype(np.int64) for f in flat.type}
+        pair, lo, hi, olo, ohi = regions(pc.list_parent_indices(b.column(2)).to_numpy(), rects, least)
+        n = np.arange(len(pair))
+        for role, x, y in ((0, lo, hi), (1, olo, ohi)):
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(pair)), b.column(1).take(pa.array(pair)), pa.array(n, pa.int32()), pa.array(np.full(len(n), role), pa.int32()), pa.array(np.maximum(0, x - SLACK), pa.int32()), pa.array(y + SLACK, pa.int32())], ["d", "p", "n", "role", "lo", "hi"])
+
+
+def _grams_of(texts: pa.Array, shingle: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(number, shingles) of each text, taken in chunks."""
+    for lo, hi in chunks(texts, 1 << 19):
+        grams, bounds = Words(texts.slice(lo, hi - lo)).grams(shingle)
+        for i in range(lo, hi):
+            yield i, grams[bounds[i - lo] : bounds[i - lo + 1]]
 
 
 @tidy
 def _slices(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
+    names = ["d", "p", "n", "role", "lo"]
     for b in batches:
-        for i in range(len(b)):
-            grams, bounds = Words(b.column(0).slice(i, 1)).grams(shingle)
-            part = (grams[bounds[0] : bounds[1]] >> U(32)).astype(np.uint32)
-            flat = b.column(1).slice(i, 1).flatten()
-            lo, hi = flat.field(4).to_numpy(), flat.field(5).to_numpy()
-            data = pa.array([part[x : y + 1].tobytes() for x, y in zip(lo, hi, strict=True)], pa.binary())
-            yield pa.RecordBatch.from_arrays([*(flat.field(j) for j in range(5)), data], ["d", "p", "n", "role", "lo", "part"])
+        at, flat, data, cut = b.column(1).offsets.to_numpy() - b.column(1).offsets[0].as_py(), b.column(1).flatten(), [], 0
+        lo, hi = flat.field("lo").to_numpy(), flat.field("hi").to_numpy()
+        for i, grams in _grams_of(b.column(0), shingle):
+            part = (grams >> U(32)).astype(np.uint32)
+            data += [part[x : y + 1].tobytes() for x, y in zip(lo[at[i] : at[i + 1]].tolist(), hi[at[i] : at[i + 1]].tolist(), strict=True)]
+            if len(data) >= 2000 or i + 1 == len(b):
+                own = flat.slice(cut, len(data))
+                yield pa.RecordBatch.from_arrays([*(own.field(f) for f in names), pa.array(data, pa.binary())], [*names, "part"])
+                cut, data = cut + len(data), []
 
 
 def common_stretches(x: np.ndarray, y: np.ndarray, least: int, threshold: float, shingle: int = 5) -> list[tuple[int, int, int, int]]:
@@ -151,10 +184,16 @@ def common_stretches(x: np.ndarray, y: np.ndarray, least: int, threshold: float,
     to a shingle's length on each side, as an edited word changes all shingles at an edge.
     """
 
+    each, ids = np.unique(np.concatenate([x, y]), return_inverse=True)
+    xs, ys = ids[: len(x)], ids[len(x) :]
+    at = np.full(len(each), -1)
+    at[ys[::-1]] = np.arange(len(y))[::-1]  # the first place in y
+
     def like(first, last, lo, hi):
-        left, right = np.unique(x[first : last + 1]), np.unique(y[max(0, lo) : hi + 1])
-        both = len(np.intersect1d(left, right, assume_unique=True))
-        return both / (len(left) + len(right) - both)
+        left, right = np.zeros(len(each), bool), np.zeros(len(each), bool)
+        left[xs[first : last + 1]] = True
+        right[ys[max(0, lo) : hi + 1]] = True
+        return np.count_nonzero(left & right) / np.count_nonzero(left | right)
 
     def grown(first, last, lo, hi):
         """The likest way to reach ``least`` tokens."""
@@ -163,19 +202,15 @@ def common_stretches(x: np.ndarray, y: np.ndarray, least: int, threshold: float,
         ways = [(first - g, last + r, lo - g, hi + r) for g, r in ways if first >= g and last + r < len(x)]
         return max(((like(*w), w) for w in ways), default=(0.0, None))
 
-    each, at = np.unique(y, return_index=True)
-    place = np.minimum(np.searchsorted(each, x), len(each) - 1) if len(each) else None
-    if place is None:
-        return []
-    hit = np.flatnonzero(each[place] == x)
-    to = at[place[hit]]
+    hit = np.flatnonzero(at[xs] >= 0)
+    to = at[xs[hit]]
     out, todo = [], [(0, len(hit))]
     while todo:
         a, b = todo.pop()
         if b - a < 1 or hit[b - 1] - hit[a] + 1 + 2 * shingle < least:
             continue
         shift = to[a:b] - hit[a:b]
-        along = to[a:b][np.abs(shift - np.median(shift)) <= 16 + (b - a) // 8]
+        along = to[a:b][np.abs(shift - np.partition(shift, (b - a) // 2)[(b - a) // 2]) <= 16 + (b - a) // 8]
         lo, hi = (int(along.min()), int(along.max())) if len(along) else (0, -1)
         similarity, way = grown(int(hit[a]), int(hit[b - 1]), lo, hi) if len(along) else (0.0, None)
         if similarity >= threshold:
@@ -208,6 +243,78 @@ def _verify(batches: Iterator[pa.RecordBatch], least: int, threshold: float, shi
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], ["d", "p", "lo", "hi"])
 
 
+@tidy
+def _around(batches: Iterator[pa.RecordBatch], shingle: int, least: int) -> Iterator[pa.RecordBatch]:
+    """Each window with 16 bits of every shingle that a passage of least length around its centre can have."""
+    names = ["k", "pos", "w", "m", "ask"]
+    for b in batches:
+        at, flat, data, cut = b.column(1).offsets.to_numpy() - b.column(1).offsets[0].as_py(), b.column(1).flatten(), [], 0
+        c = flat.field("c").to_numpy()
+        for i, grams in _grams_of(b.column(0), shingle):
+            part = (grams >> U(48)).astype(np.uint16)
+            data += [part[max(0, x - least + 1) : x + least].tobytes() for x in c[at[i] : at[i + 1]].tolist()]
+            if len(data) >= 2000 or i + 1 == len(b):
+                own = flat.slice(cut, len(data))
+                yield pa.RecordBatch.from_arrays([*(own.field(f) for f in names), pa.array(data, pa.binary())], [*names, "part"])
+                cut, data = cut + len(data), []
+
+
+def in_common(parts: list[np.ndarray], columns: int = 4096) -> np.ndarray:
+    """Sizes of the intersections of all pairs of a block's sets, by products of 0-1 matrices a few columns wide."""
+    row = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
+    _, ids = np.unique(np.concatenate(parts), return_inverse=True)
+    ids, row = np.divmod(np.unique(ids * len(parts) + row), len(parts))
+    out = np.zeros((len(parts), len(parts)), np.float32)
+    for lo in range(0, int(ids[-1]) + 1, columns):
+        a, b = np.searchsorted(ids, [lo, lo + columns])
+        m = np.zeros((len(parts), columns), np.float32)
+        m[row[a:b], ids[a:b] - lo] = 1
+        out += m @ m.T
+    return out
+
+
+def dense_enough(hits: np.ndarray, least: int, threshold: float) -> np.ndarray:
+    """Rows of ``hits`` with a stretch of ``least`` places or more of which the share ``threshold`` are true."""
+    run = np.zeros((len(hits), hits.shape[1] + 1))
+    np.cumsum(hits - threshold, axis=1, out=run[:, 1:])
+    return (run[:, least:] - np.minimum.accumulate(run[:, : run.shape[1] - least], axis=1) >= -1e-6).any(1)
+
+
+def _partners(table: pa.Table, least: int, threshold: float, shingle: int) -> pa.Table:
+    """For each asking window of the blocks in ``table`` an earlier window of its key that seems to near-repeat it, if there is one."""
+    table = table.sort_by([("k", "ascending"), ("x", "ascending"), ("y", "ascending"), ("pos", "ascending")])
+    k, x, y, side, ask = (table.column(c).to_numpy() for c in ("k", "x", "y", "side", "ask"))
+    parts = [np.frombuffer(p.as_buffer(), np.uint16) for p in table.column("part").combine_chunks()]
+    new = np.ones(len(k), bool)
+    new[1:] = (k[1:] != k[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])
+    ends = np.append(np.flatnonzero(new), len(k))
+    has = np.zeros((1 << 16) + 1, bool)
+    a, o = [], []
+    for lo, hi in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+        if not ask[lo:hi].any():
+            continue
+        both = in_common(parts[lo:hi])
+        sizes = np.minimum(least, both.diagonal())
+        likely = (both >= threshold * np.minimum(sizes[:, None], sizes) - 1e-3) & ask[lo:hi, None] & np.tri(hi - lo, k=-1, dtype=bool)
+        if x[lo] != y[lo]:
+            likely &= side[lo:hi, None] != side[lo:hi]
+        padded = np.full((hi - lo, 2 * least - 1), 1 << 16)
+        for j in range(hi - lo):
+            padded[j, : len(parts[lo + j])] = parts[lo + j]
+        for i in np.flatnonzero(likely.any(1)).tolist():
+            others = np.flatnonzero(likely[i])
+            has[parts[lo + i]] = True
+            others = others[dense_enough(has[padded[others]], least, threshold)]
+            has[parts[lo + i]] = False
+            for j in others[np.argsort(-both[i, others], kind="stable")].tolist():
+                if common_stretches(parts[lo + i], parts[lo + j], least, threshold, shingle):
+                    a.append(lo + i)
+                    o.append(lo + j)
+                    break
+    a, o = table.take(pa.array(a, pa.int64())), table.take(pa.array(o, pa.int64()))
+    return pa.table([*(a.column(c) for c in ("k", "pos", "w", "m")), *(o.column(c) for c in ("pos", "w", "m"))], ["k", "pos", "w", "m", "o", "ow", "om"])
+
+
 def repeats(base: DataFrame, bits: int, words: int = 50, shingle: int = 5, threshold: float = 0.8) -> DataFrame:
     """Verified passages (d, p, lo, hi): shingles lo to hi of text d near-repeat a passage of text p, which comes first.
 
@@ -215,48 +322,69 @@ def repeats(base: DataFrame, bits: int, words: int = 50, shingle: int = 5, thres
     """
     least = words - shingle + 1
     texts = base.where("text is not null").select("key", "text")
-    shared = texts.mapInArrow(lambda it: _windows(it, shingle, least, bits, True), "k long").groupBy("k").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("k")
-    rows = texts.mapInArrow(lambda it: _windows(it, shingle, least, bits, False), "k long, pos long, w long")
-    rows = stored(rows.join(shared.hint("shuffle_hash"), "k"))
     mask = (1 << bits) - 1
-    found, pool = None, rows  # rows ask, any of the pool may be a partner
-    for turn in range(ROUNDS):
-        first = pool.groupBy("k").agg(F.min(F.struct("pos", "w")).alias("_f")).select("k", F.col("_f.pos").alias("o"), F.col("_f.w").alias("ow"))
+
+    def verified(meetings: DataFrame) -> DataFrame:
+        """Passages of windows (pos, w, m) that near-repeat those they met (o, ow, om)."""
         left, right = F.shiftright("w", 31), F.col("w").bitwiseAND((1 << 31) - 1)
         oleft, oright = F.shiftright("ow", 31), F.col("ow").bitwiseAND((1 << 31) - 1)
-        rects = rows.join(first, "k").where("pos > o").select(
-            F.shiftright("pos", bits).alias("d"),
-            F.shiftright("o", bits).alias("p"),
-            F.struct(
-                F.col("k").bitwiseAND(HASHES - 1).cast("int").alias("h"),
-                F.col("pos").bitwiseAND(mask).cast("int").alias("c"),
-                F.least(left, oleft).cast("int").alias("l"),
-                F.least(right, oright).cast("int").alias("r"),
-                F.col("o").bitwiseAND(mask).cast("int").alias("oc"),
-            ).alias("rect"),
-        )
+        rect = {"c": F.col("pos").bitwiseAND(mask), "l": F.least(left, oleft), "r": F.least(right, oright), "m": F.col("m"), "oc": F.col("o").bitwiseAND(mask), "om": F.col("om")}
+        rects = meetings.select(F.shiftright("pos", bits).alias("d"), F.shiftright("o", bits).alias("p"), F.struct(*(v.cast("int").alias(n) for n, v in rect.items())).alias("rect"))
         pairs = rects.groupBy("d", "p").agg(F.collect_list("rect").alias("rects"))  # at most a text's own windows
         asked = pairs.mapInArrow(lambda it: _candidates(it, least), "d long, p long, n int, role int, lo int, hi int")
         key = F.when(F.col("role") == 0, F.col("d")).otherwise(F.col("p")).alias("_key")
         other = F.when(F.col("role") == 0, F.col("p")).otherwise(F.col("d"))
-        asked = durable(asked)
         asked = asked.groupBy(key, F.pmod(F.xxhash64(other), F.lit(SALTS)).alias("_salt")).agg(F.collect_list(F.struct("d", "p", "n", "role", "lo", "hi")).alias("asked"))
+        asked = stored(asked)
         likely, _ = split_by_keys(texts, "key", asked, "_key")
         parts = likely.join(asked, F.col("key") == F.col("_key")).select("text", "asked").mapInArrow(lambda it: _slices(it, shingle), "d long, p long, n int, role int, lo int, part binary")
         side = [F.max(F.when(F.col("role") == r, F.col(c))).alias(f"{c}{r}") for c in ("lo", "part") for r in (0, 1)]
         both = parts.groupBy("d", "p", "n").agg(*side).select("d", "p", "lo0", "lo1", "part0", "part1")
-        new = durable(both.mapInArrow(lambda it: _verify(it, least, threshold, shingle), "d long, p long, lo int, hi int"))
-        found = new if found is None else found.unionByName(new)
-        if turn + 1 < ROUNDS:
-            # windows whose centre no verified passage of their text covers, and that come after the first
-            covered = new.select(F.col("d").alias("_d"), "lo", "hi")
-            rest = rows.join(first.select("k", "o"), "k").where("pos > o").select("k", "pos", "w", F.shiftright("pos", bits).alias("_t"), F.col("pos").bitwiseAND(mask).alias("_c"))
-            rest = rest.join(covered, (F.col("_t") == F.col("_d")) & F.col("_c").between(F.col("lo"), F.col("hi")), "left_anti").select("k", "pos", "w")
-            rows = stored(rest)
-            if rows.isEmpty():
-                break
-            pool = pool.join(first.select("k", "o"), "k").where("pos > o").select("k", "pos", "w")
-    return found.distinct()
+        return durable(both.mapInArrow(lambda it: _verify(it, least, threshold, shingle), "d long, p long, lo int, hi int").distinct())
+
+    def unanswered(rows: DataFrame, new: DataFrame) -> DataFrame:
+        """``rows`` without those whose centre a passage of their text covers."""
+        covered = new.select(F.col("d").alias("_d"), "lo", "hi")
+        mine = (F.shiftright("pos", bits) == F.col("_d")) & F.col("pos").bitwiseAND(mask).between(F.col("lo"), F.col("hi"))
+        return rows.join(covered, mine, "left_anti")
+
+    shared = texts.mapInArrow(lambda it: _windows(it, shingle, least, bits, True), "k long").groupBy("k").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("k")
+    shared = stored(shared)  # apart from the join, or a hot key could not be split there
+    rows = texts.mapInArrow(lambda it: _windows(it, shingle, least, bits, False), "k long, pos long, w long, m int")
+    pool = stored(rows.join(shared, "k"))
+    asking, found = pool, []
+    for _ in range(STARS):
+        heads = durable(pool.groupBy("k").agg(F.min(F.struct("pos", "w", "m")).alias("_f")).select("k", F.col("_f.pos").alias("o"), F.col("_f.w").alias("ow"), F.col("_f.m").alias("om")))
+        met = asking.join(heads, "k").where("pos > o")
+        new = verified(met)
+        found.append(new)
+        asking = stored(unanswered(met.select("k", "pos", "w", "m"), new))
+        if asking.isEmpty():
+            break
+        # answered windows stay as partners of those that still ask
+        pool = stored(pool.join(heads.select("k", "o"), "k").where("pos > o").select("k", "pos", "w", "m").join(asking.select("k").distinct(), "k"))
+    else:
+        counts = pool.groupBy("k").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+        own = asking.select(F.col("k").alias("_k"), F.col("pos").alias("_pos"))
+        counts = durable(counts)
+        pool = pool.join(counts, "k").join(own, (F.col("k") == F.col("_k")) & (F.col("pos") == F.col("_pos")), "left")
+        pool = stored(pool.select("k", "pos", "w", "m", "n", F.col("_k").isNotNull().alias("ask")))
+        wanted = pool.groupBy(F.shiftright("pos", bits).alias("_key")).agg(F.collect_list(F.struct("k", "pos", "w", "m", "ask", F.col("pos").bitwiseAND(mask).alias("c"))).alias("l"))
+        wanted = stored(wanted)  # a text's own windows
+        likely, _ = split_by_keys(texts, "key", wanted, "_key")
+        around = likely.join(wanted, F.col("key") == F.col("_key")).select("text", "l").mapInArrow(lambda it: _around(it, shingle, least), "k long, pos long, w long, m int, ask boolean, part binary")
+        around = around.join(counts.select("k", F.ceil(F.col("n") / BLOCK).cast("int").alias("b")), "k")
+        mine, other = F.col("mine"), F.col("other")
+        dealt = around.withColumn("mine", F.pmod(F.xxhash64("pos"), F.col("b")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("b") - 1)))
+        dealt = dealt.select("k", F.least(mine, other).alias("x"), F.greatest(mine, other).alias("y"), (mine > other).cast("int").alias("side"), "pos", "w", "m", "ask", "part")
+        tasks = pool.agg(F.sum(F.ceil(F.col("n") / BLOCK))).first()[0] or 0
+        dealt = dealt.groupBy(F.pmod(F.xxhash64("k", "x", "y"), F.lit(int(tasks) // TASK + 1)).alias("_task"))
+        met = dealt.applyInArrow(lambda t: _partners(t, least, threshold, shingle), "k long, pos long, w long, m int, o long, ow long, om int")
+        found.append(verified(met))
+    out = found[0]
+    for new in found[1:]:
+        out = out.unionByName(new)
+    return out.distinct()
 
 
 @tidy
@@ -302,43 +430,39 @@ def passage_report(docs: DataFrame, words: int = 50, shingle: int = 5, threshold
 @tidy
 def _cut(batches: Iterator[pa.RecordBatch], shingle: int, words: int) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        names = b.schema.names
-        texts, out, stays = b.column(names.index("text")), [], []
+        rest, texts, all_spans = (b.column(c) for c in range(3))
+        out, stays = [], []
         for i in range(len(b)):
-            spans = b.column(names.index("_spans"))[i]
-            if not spans.is_valid or not texts[i].is_valid:
-                out.append(texts[i].as_py())
-                stays.append(True)
-                continue
-            g = Words(texts.slice(i, 1))
-            if spans.as_py()[0]["hi"] >= 1 << 30 and len(g.start) < words:  # a copy, but no passage
+            g, spans = Words(texts.slice(i, 1)), all_spans[i].as_py()
+            if spans[0]["hi"] >= 1 << 30 and len(g.start) < words:  # a copy, but no passage
                 out.append(texts[i].as_py())
                 stays.append(True)
                 continue
             keep = np.ones(len(g.data), bool)
-            for s in spans.as_py():
+            for s in spans:
                 keep[g.start[s["lo"]] : g.end[min(s["hi"] + shingle, len(g.end)) - 1]] = False
             out.append(g.data[keep].tobytes().decode())
             stays.append(bool(keep[g.start].any()))  # a text whose words are all gone goes
-        rest = [c for c in names if c not in ("text", "_spans")]
-        yield pa.RecordBatch.from_arrays([*(b.column(c) for c in rest), pa.array(out, pa.string())], [*rest, "text"]).filter(pa.array(stays, pa.bool_()))
+        yield pa.RecordBatch.from_arrays([rest, pa.array(out, pa.string())], ["rest", "text"]).filter(pa.array(stays, pa.bool_()))
 
 
 def remove_passages(docs: DataFrame, words: int = 50, shingle: int = 5, threshold: float = 0.8) -> DataFrame:
-    """``docs`` with every near-repeated passage but its first cut out of the texts; a text with no words left goes.
+    """``docs(doc_id, text, ...)`` with every near-repeated passage but its first cut out of the texts.
 
-    Rows that had no words to begin with stay as they are.
+    Earlier is as in ``passage_report``: rows with null ids come first, rows with equal ids in
+    any one order. A text with no words left goes, so of repeated rows of a passage's length
+    one stays. Null texts, texts without words and texts of fewer than ``words`` words stay as
+    they are; very long texts are taken one at a time; an empty table gives no rows. All
+    columns are kept, whatever their names.
     """
     bits = _bits(docs)
-    base = keyed(docs, [c for c in docs.columns if c != "key"], most=1 << (62 - bits))
+    base = keyed(packed(docs), ["text", "rest"], most=1 << (62 - bits))
     texts, copies = without_copies(base.select("key", "text"))
     found = durable(repeats(texts, bits, words, shingle, threshold))
-    whole = copies.select(F.col("copy").alias("_key"), F.array(F.struct(F.lit(0).alias("lo"), F.lit((1 << 31) - 64).alias("hi"))).alias("_spans"))
-    spans = durable(found.groupBy(F.col("d").alias("_key")).agg(F.collect_list(F.struct("lo", "hi")).alias("_spans")).unionByName(whole))
-    cols = [c for c in docs.columns if c != "text"]
+    whole = copies.select(F.col("copy").alias("_key"), F.array(F.struct(F.lit(0).alias("lo"), F.lit((1 << 31) - 64).alias("hi"))).alias("spans"))
+    spans = durable(found.groupBy(F.col("d").alias("_key")).agg(F.collect_list(F.struct("lo", "hi")).alias("spans")).unionByName(whole))
     likely, untouched = split_by_keys(base, "key", spans, "_key")
     joined = likely.join(spans, F.col("key") == F.col("_key"), "left")
-    untouched = untouched.select(*docs.columns).unionByName(joined.where("_spans is null").select(*docs.columns))
-    schema = joined.select(*cols, "text").schema
-    cut = joined.where("_spans is not null").select(*cols, "text", "_spans").mapInArrow(lambda it: _cut(it, shingle, words), schema)
-    return untouched.unionByName(cut.select(*docs.columns))
+    untouched = untouched.select("rest", "text").unionByName(joined.where("spans is null").select("rest", "text"))
+    cut = joined.where("spans is not null").select("rest", "text", "spans").mapInArrow(lambda it: _cut(it, shingle, words), joined.select("rest", "text").schema)
+    return unpacked(untouched.unionByName(cut), docs.columns)

@@ -150,10 +150,16 @@ def test_packing(odd, empty):
     assert packing.pack(empty).count() == 0
 
 
+NAMES = ("key", "node", "uid", "shard", "score", "n", "k", "pos", "tkey", "w", "_n", "label", "copy", "_own", "_row", "_bits", "_gone", "_hit", "_spans", "rest", "gone", "hit", "spans", "_key", "a.b")
+
+
 def test_clashing_columns(odd, labels, benchmark):
     """Columns named like the operators' own do not matter."""
     clash = odd
-    for c in ("key", "node", "uid", "shard", "score", "n", "k", "pos", "tkey", "w", "_n", "label", "copy"):
+    for c in NAMES:
         clash = clash.withColumn(c, F.lit(1))
     for f in (sharding.shard_documents, passages.passage_report, substring_exact.remove_repeats, ngram_join.classes, packing.pack, lambda d: quality.classify(d, labels), lambda d: decontaminate.contamination(d, benchmark)):
         assert f(clash).count() >= 12
+    for f in (passages.remove_passages, lambda d: quality.keep_good(d, labels)):
+        out = f(clash)
+        assert out.columns == clash.columns and {r["key"] + r["_spans"] for r in out.collect()} == {2}

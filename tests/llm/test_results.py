@@ -5,7 +5,6 @@ import random
 import re
 import zlib
 from collections import Counter, defaultdict
-from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -122,23 +121,64 @@ def test_bayes_bound_keeps_like_pairs():
 def test_compact_windows_equal_definition():
     rng = np.random.default_rng(0)
     grams, bounds, least = rng.integers(0, 2**63, 400).astype(np.uint64), np.array([0, 150, 155, 400]), 20
-    for i, text, c, lo, hi, _ in passages.compact_windows(grams, bounds, least):
-        got = {(int(t), int(a), int(b), int(d)) for t, a, b, d in zip(text, c, lo, hi, strict=True)}
+    grams[30], grams[300:380] = grams[40], np.tile(grams[300:305], 16)  # a tie, and a periodic stretch
+    for i, text, c, lo, hi, tie in passages.compact_windows(grams, bounds, least, least + 4):
+        got = {tuple(map(int, r)) for r in zip(text, c, lo, hi, tie, strict=True)}
         v = (((grams >> np.uint64(32)).astype(np.uint32) ^ passages._XOR[i]) * passages._MUL[i]).astype(np.int64)
         want = set()
         for t in range(3):
             x = v[bounds[t] : bounds[t + 1]]
+            spans, tail = {}, {}
             for k in range(len(x)):
                 a, b = k, k
                 while a and x[a - 1] > x[k]:
                     a -= 1
-                while b + 1 < len(x) and x[b + 1] > x[k]:
+                while b + 1 < len(x) and x[b + 1] >= x[k]:
                     b += 1
-                if b - a + 1 >= least:
-                    want.add((t, k, a, b))
+                if b - a + 1 < least:
+                    continue
+                # a tie joins the window of the last equal one, unless that is far off
+                near = next((h for h, s in spans.items() if x[h] == x[k] and s[0] + s[3] <= b and k - s[2] < least and min(x[h : k + 1]) == x[k] and h not in tail), None)
+                if near is None:
+                    spans[k] = [a, b, k, 0]
+                elif k - near >= least + 4:
+                    spans[k], tail[near] = [a, b, k, 0], True
+                else:
+                    spans[near][2] = k
+            want |= {(t, bounds[t] + k, bounds[t] + a, bounds[t] + b, bounds[t] + e) for k, (a, b, e, _) in spans.items()}
         assert got == want
 
 
+def test_block_intersections():
+    rng = np.random.default_rng(3)
+    parts = [rng.integers(0, 60, n).astype(np.uint16) for n in (5, 30, 91, 2)]
+    assert passages.in_common(parts, 7).tolist() == [[len(set(p.tolist()) & set(q.tolist())) for q in parts] for p in parts]
+    hits = np.zeros((3, 60), bool)
+    hits[0, 5:45], hits[1, 5:40], hits[2, ::2] = True, True, True
+    assert passages.dense_enough(hits, 46, 0.8).tolist() == [True, False, False]
+
+
+def test_passages_whose_keys_all_occur_in_earlier_texts(make, monkeypatch):
+    """Each stretch of a passage is also in six earlier texts that do not repeat it."""
+    monkeypatch.setattr(passages, "BLOCK", 3)
+    rows = []
+    for i in range(6):
+        w = prose(900 + i, 60).split(" ")
+        for k in range(6):
+            for n, at in enumerate(range(0, 60, 20)):
+                rows.append((i * 100 + k * 10 + n, prose(9000 + i * 100 + k * 10 + n, 40) + " " + " ".join(w[max(0, at - 7) : at + 27]) + " " + prose(20000 + i * 100 + k * 10 + n, 40)))
+        rows += [(5000 + i, prose(7000 + i, 30) + " " + " ".join(w)), (6000 + i, " ".join(w) + " " + prose(8000 + i, 30))]
+    got = {r.doc_id: r.n_removed for r in passages.passage_report(make(rows)).collect()}
+    assert all(got[6000 + i] >= 55 for i in range(6))
+
+
+def test_periodic_passages_keep_their_beginning(make):
+    s = prose(31, 12)
+    rows = [(1, " ".join([s] * 40)), (2, "one two three " + "la " * 400 + "end"), (3, prose(32, 200))]
+    got = {r.doc_id: r for r in passages.passage_report(make(rows)).collect()}
+    assert got[1].n_words - got[1].n_removed in range(40, 120) and 404 - got[2].n_removed in range(40, 120) and got[3].n_removed == 0
+
+
 def test_passages_find_every_exact_repeat(family, texts, make):
     _, rows = family
     rows = {**{i: t for i, t in rows.items() if i >= 100}, **{1000 + i: t for i, t in texts.items() if i < 120}}
@@ -174,8 +214,6 @@ def test_passages_follow_a_chain_of_edits(make):
 
 
 def test_passages_recall_of_near_repeats(make):
-    h = passages.HASHES
-    assert sum(comb(h, k) * 0.8**k * 0.2 ** (h - k) for k in range(passages.NEED)) < 1e-4
     rows = []
     for i in range(200):
         p = prose(2000 + i, 60)
