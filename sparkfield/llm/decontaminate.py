@@ -8,12 +8,10 @@ extended to its whole window word by word.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql import Window as W
 
-from .common import NON_WORD, ascii_lower, durable
+from .common import NON_WORD, ascii_lower, durable, split_by_keys
 
 #: Benchmark windows up to which their table is broadcast; a larger one is shuffled.
 BROADCAST_WINDOWS = 200_000
@@ -27,48 +25,57 @@ def _gram(w: Column, i: Column, k: int) -> Column:
     return F.xxhash64(*(F.get(w, i + j) for j in range(k)))
 
 
-def _runs(df: DataFrame, length: int, k: int, keys: list[str]) -> DataFrame:
-    """Rows (keys, w, i, fp): every run of ``length`` words and its fingerprint."""
-    k = min(k, length)
-    none = F.array().cast("array<bigint>")
-    w = F.col("w")
-    grams = F.when(F.size(w) >= length, F.transform(F.sequence(F.lit(0), F.size(w) - k), lambda i: _gram(w, i, k))).otherwise(none)
-    df = df.withColumn("g", grams)
-    if length == k:
-        fps = F.col("g")
-    else:
-        g, n = F.col("g"), length - k + 1
-        at = F.when(F.size(g) >= n, F.sequence(F.lit(0), F.size(g) - n)).otherwise(F.array().cast("array<int>"))
-        fps = F.transform(at, lambda i: F.least(*(F.get(g, i + j) for j in range(n))))
-    return df.select(*keys, "w", F.posexplode(fps).alias("i", "fp"))
+def _runs(df: DataFrame, lengths: list[int], k: int, keys: list[str]) -> DataFrame:
+    """Rows (keys, n, i, fp): every run of ``n`` words, for each of the lengths, and its fingerprint; the words stay behind."""
+    grams = {min(k, n) for n in lengths}
+    upto = lambda last: F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
+
+    def grams_of(j: int) -> Column:
+        return F.transform(upto(F.size("w") - j), lambda i: _gram(F.col("w"), i, j))
+
+    def runs_of(n: int) -> Column:
+        g, more = F.col(f"g{min(k, n)}"), n - min(k, n)
+        least = lambda i: F.least(*(F.get(g, i + j) for j in range(more + 1))) if more else F.get(g, i)
+        return F.transform(upto(F.size(g) - 1 - more), lambda i: F.struct(F.lit(n).alias("n"), i.alias("i"), least(i).alias("fp")))
 
+    df = df.withColumns({f"g{j}": grams_of(j) for j in sorted(grams)})
+    runs = [runs_of(n) for n in lengths]
+    return df.select(*keys, F.inline(F.concat(*runs)))
 
-def _window_text(length: int) -> Column:
-    return F.concat_ws(" ", F.slice("w", F.col("i") + 1, length))
+
+def _window_text(w: Column, i: Column, n: Column) -> Column:
+    return F.concat_ws(" ", F.slice(w, i + 1, n))
 
 
 def hits(docs: DataFrame, benchmark: DataFrame, window: int = 10, k: int = 5) -> DataFrame:
-    """Rows (doc_id, tkey, i, n, item_id): document words i to i+n-1 are a window of the item."""
-    items = benchmark.select("item_id", words(F.col("text")).alias("w")).where(F.size("w") > 0).withColumn("n", F.least(F.size("w"), F.lit(window)))
-    lengths = sorted(r.n for r in items.select("n").distinct().collect())  # at most ``window`` values
+    """Rows (doc_id, tkey, i, n, item_id): document words i to i+n-1 are a window of the item.
+
+    ``docs(doc_id, text)``; tkey tells apart the texts of rows with one doc_id. Null and
+    word-free texts and items have none, repeated rows repeat theirs, empty tables give no
+    rows. Texts of any length are taken whole: fingerprints go without their words, and only
+    documents with equal fingerprints meet their words again, once each.
+    """
+    items = benchmark.select("item_id", words(F.col("text")).alias("w")).where(F.size("w") > 0).withColumn("len", F.least(F.size("w"), F.lit(window)))
+    lengths = sorted(r.len for r in items.select("len").distinct().collect())  # at most ``window`` values
     own = docs.select("doc_id", F.xxhash64("text").alias("tkey"), words(F.col("text")).alias("w"))
-    found = []
-    for n in lengths:
-        want = _runs(items.where(F.col("n") == n), n, k, ["item_id"]).select("item_id", F.col("fp").alias("_fp"), _window_text(n).alias("_text")).distinct()
-        small = want.limit(BROADCAST_WINDOWS + 1).count() <= BROADCAST_WINDOWS
-        runs = _runs(own, n, k, ["doc_id", "tkey"])
-        # two prefixes rather than one equality: an equality would become a join key, and its text would be built for every run
-        same = _window_text(n).startswith(F.col("_text")) & F.col("_text").startswith(_window_text(n))
-        if small:
-            pairs = runs.join(F.broadcast(want), F.col("fp") == F.col("_fp")).where(same)
-        else:
-            pairs = runs.drop("w").join(want, F.col("fp") == F.col("_fp"))
-            text = own.withColumnsRenamed({"doc_id": "_d", "tkey": "_t"})
-            pairs = pairs.join(text, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("tkey") == F.col("_t"))).where(same)
-        found.append(pairs.select("doc_id", "tkey", "i", F.lit(n).alias("n"), "item_id"))
-    if not found:
+    if not lengths:
         return own.select("doc_id", "tkey", F.lit(0).alias("i"), F.lit(0).alias("n"), F.lit(0).cast("long").alias("item_id")).where("false")
-    return reduce(DataFrame.unionByName, found)
+    # the item's words are joined to its runs only here, where texts are few and short
+    named = _runs(items, lengths, k, ["item_id", "w", "len"]).where("n = len").select("item_id", "n", "fp", _window_text(F.col("w"), F.col("i"), F.col("n")).alias("t")).distinct()
+    named = durable(named)
+    want = named.select(F.col("n").alias("_n"), F.col("fp").alias("_fp"), "t").distinct()
+    if want.limit(BROADCAST_WINDOWS + 1).count() <= BROADCAST_WINDOWS:
+        want = F.broadcast(want)
+    met = _runs(own, lengths, k, ["doc_id", "tkey"]).join(want, (F.col("fp") == F.col("_fp")) & (F.col("n") == F.col("_n")))
+    # a document's own runs
+    lists = durable(met.groupBy(F.col("doc_id").alias("_d"), F.col("tkey").alias("_t")).agg(F.collect_list(F.struct("i", "n", "t")).alias("l")))
+    likely, _ = split_by_keys(own, "tkey", lists, "_t")
+    both = likely.join(lists, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("tkey") == F.col("_t")))
+    same = F.filter("l", lambda r: _window_text(F.col("w"), r["i"], r["n"]) == r["t"])
+    # rows with equal ids and texts have equal runs, which are rows of their own
+    found = both.select("doc_id", "tkey", F.inline(F.array_distinct(same)))
+    names = named.select("item_id", F.col("n").alias("_n"), F.col("t").alias("_s")).distinct()
+    return found.join(names, (F.col("n") == F.col("_n")) & (F.col("t") == F.col("_s"))).select("doc_id", "tkey", "i", "n", "item_id")
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, k: int = 5) -> DataFrame:
