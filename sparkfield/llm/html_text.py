@@ -9,6 +9,7 @@ forward-backward algorithm and decoded by Viterbi.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -20,7 +21,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from .textgrid import tidy
 
-TOKEN = re.compile(r"""<!--(?:.*?-->|.*\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>""", re.S)
+NAME = re.compile(r"(/?)([a-zA-Z][a-zA-Z0-9:-]*)")
+QUOTE = re.compile("[\"'>]")
 ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role|hidden|style)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -70,11 +72,82 @@ def _hints(attributes: str) -> frozenset:
     return frozenset(out)
 
 
+class Scanner:
+    """Markup of a page, in time linear in its size: what was once sought to the end in vain is not sought again."""
+
+    def __init__(self, html: str):
+        self.html = html
+        self.missing: set[str] = set()  # strings of which there are no more
+        self.quoted = True
+
+    def find(self, what: str, at: int) -> int:
+        if what in self.missing:
+            return -1
+        k = self.html.find(what, at)
+        if k < 0:
+            self.missing.add(what)
+        return k
+
+    def tag_end(self, at: int) -> int:
+        """Place of the ``>`` that ends the tag whose attributes begin at ``at``, or -1; quotes hide it."""
+        first = self.find(">", at)
+        if first < 0 or not self.quoted:
+            return first
+        k = at
+        while m := QUOTE.search(self.html, k):
+            if m[0] == ">":
+                return m.start()
+            k = self.find(m[0], m.end()) + 1
+            if not k:  # a quote that never ends hides nothing
+                return first
+        self.quoted = False  # no tag ends outside of quotes any more
+        return first
+
+    def __iter__(self):
+        """(kind, text or tag, attributes): kind is text, open or close."""
+        html, at, n = self.html, 0, len(self.html)
+        while at < n:
+            k = html.find("<", at)
+            if k < 0:
+                k = n
+            if k > at:
+                yield "text", html[at:k], ""
+                at = k
+                continue
+            if html.startswith("<!--", at):
+                end = self.find("-->", at + 4)
+                at = end + 3 if end >= 0 else n
+                continue
+            if html.startswith("<![CDATA[", at) and (end := self.find("]]>", at + 9)) >= 0:
+                yield "text", html[at + 9 : end], ""
+                at = end + 3
+                continue
+            m = NAME.match(html, at + 1)
+            if html[at + 1 : at + 2] in ("!", "?"):
+                end = self.find(">", at)
+            else:
+                end = self.tag_end(m.end()) if m else -1
+            if end < 0:
+                yield "text", "<", ""
+                at += 1
+                continue
+            at = end + 1
+            if not m:
+                continue
+            tag = m[2].lower()
+            yield "close" if m[1] else "open", tag, html[m.end() : end]
+            if not m[1] and tag in RAW:  # its text is no markup
+                close = re.compile(f"</{tag}", re.I).search(html, at)
+                at = close.start() if close else n
+
+
 def blocks(html: str) -> list[Block]:
     """The page's leaf blocks in order; scripts, styles and the head have none."""
     out: list[Block] = []
-    stack: list[tuple[str, frozenset, frozenset]] = [("body", frozenset(), frozenset())]
+    # tag, nearest block-level tag, tags and hints around
+    stack: list[tuple[str, str, frozenset, frozenset]] = [("body", "body", frozenset(), frozenset())]
     silent, linked, text, where = 0, 0, [], None
+    opened: Counter = Counter()
     no = frozenset()
 
     def flush():
@@ -82,40 +155,26 @@ def blocks(html: str) -> list[Block]:
         if text:
             s = SPACE.sub(" ", "".join(text)).strip()
             if s:
-                own = next((t for t, _, _ in reversed(where) if t not in INLINE), "body")
-                out.append(Block(s, own, where[-1][1], where[-1][2], min(linked, len(s))))
+                out.append(Block(s, where[1], where[2], where[3], min(linked, len(s))))
         linked, text, where = 0, [], None
 
     def pop(k: int):
         nonlocal silent
         while len(stack) > k:
-            silent -= stack.pop()[0] in SILENT
-
-    def add(s: str):
-        nonlocal linked, where
-        if s and not silent:
-            s = unescape(s)
-            if where is None and not s.isspace():
-                where = list(stack)
-            text.append(s)
-            if any(t == "a" for t, _, _ in stack[1:]):
-                linked += len(s)
-
-    at, n = 0, len(html)
-    while at < n:
-        m = TOKEN.search(html, at)
-        if not m:
-            add(html[at:])
-            break
-        add(html[at : m.start()])
-        at = m.end()
-        if html.startswith("<![CDATA[", m.start()):
-            add(html[m.start() + 9 : at - 3])
-            continue
-        close, tag, attributes = (m[1], m[2], m[3]) if m[2] else (m[4], m[5], m[6])
-        if not tag:
+            tag = stack.pop()[0]
+            opened[tag] -= 1
+            silent -= tag in SILENT
+
+    for kind, tag, attributes in Scanner(html):
+        if kind == "text":
+            if not silent:
+                s = unescape(tag)
+                if where is None and not s.isspace():
+                    where = stack[-1]
+                text.append(s)
+                if opened["a"]:
+                    linked += len(s)
             continue
-        tag = tag.lower()
         if tag in ("br", "hr") or (tag == "img" and text):
             if tag == "hr":
                 flush()
@@ -124,7 +183,7 @@ def blocks(html: str) -> list[Block]:
             continue
         if tag in VOID:
             continue
-        if not close:
+        if kind == "open":
             if tag not in INLINE:
                 flush()
                 for k in range(len(stack) - 1, 0, -1):  # an open paragraph ends here, and so does a list item before the next
@@ -136,17 +195,16 @@ def blocks(html: str) -> list[Block]:
                         break
             if attributes.endswith("/") and tag not in RAW:
                 continue
-            _, tags, hints = stack[-1]
+            _, own, tags, hints = stack[-1]
             more = _hints(attributes) if attributes else no
-            stack.append((tag, tags | {tag} if tag in TAGS_SET else tags, hints | more if more else hints))
-            if tag in SILENT:
-                silent += 1
-            if tag in RAW:
-                end = re.compile(f"</{tag}", re.I).search(html, at)
-                at = end.start() if end else n
+            stack.append((tag, own if tag in INLINE else tag, tags | {tag} if tag in TAGS_SET else tags, hints | more if more else hints))
+            opened[tag] += 1
+            silent += tag in SILENT
         else:
             if tag not in INLINE:
                 flush()
+            if not opened[tag]:
+                continue
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k][0] == tag:
                     pop(k)
@@ -188,13 +246,13 @@ def features(page: list[Block]) -> list[list[str]]:
 
 
 def labelled_pages(n: int = 400, seed: int = 5) -> list[tuple[str, dict[str, int]]]:
-    """Generated pages of many layouts with the label (1 content, 0 not) of each block's text."""
+    """Generated pages of many layouts with the label (1 content, 0 not) of each block's text; every fifth is short, often without a title."""
     rng = np.random.default_rng(seed)
     syllables = ["th", "er", "on", "an", "re", "ti", "en", "la", "de", "ung", "que", "mor", "vel", "sa", "ki", "no"]
     one = lambda xs: xs[int(rng.integers(len(xs)))]
     chance = lambda p: bool(rng.random() < p)
     out = []
-    for _ in range(n):
+    for page_number in range(n):
         labels: dict[str, int] = {}
 
         def say(label, lo, hi, stop="."):
@@ -246,6 +304,14 @@ def labelled_pages(n: int = 400, seed: int = 5) -> list[tuple[str, dict[str, int
             return f"<{(t := one(['div', 'section', 'ol']))}{cls('comments', 'comment', 'comment-list', 'discussion', 'replies')}>{one(['', f'<h3>{say(0, 1, 3, "")}</h3>'])}{inner}</{t}>"
 
         page = "<!DOCTYPE html><html><head><title>x</title><style>p{}</style><script>var a='<p>';</script></head><body>"
+        if page_number % 5 == 4:
+            tag = one(["<article>", "<main>", "<main><article>", f"<div{cls('content', 'article', 'post', 'entry-content', 'story')}>", "<article>"])
+            inner = one([lambda: say(1, 1, 40), lambda: f"<p>{say(1, 1, 60)}</p>", lambda: f"<p>{say(1, 5, 60)}", lambda: f"<h1>{say(1, 1, 8, '')}</h1>", lambda: f"<div>{say(1, 3, 40)}</div>", lambda: f"<p>{say(1, 1, 5, '')}</p><p>{say(1, 5, 30)}</p>"])()
+            page += f"<nav><ul>{links(3)}</ul></nav>" if chance(0.3) else ""
+            page += tag + inner + "".join(f"</{t}>" for t in reversed(re.findall(r"<(\w+)", tag)))
+            page += f"<footer>{one(['', '<p>', '© '])}{say(0, 1, 12)}</footer>" if chance(0.5) else ""
+            out.append((page + "</body></html>", labels))
+            continue
         if chance(0.35):
             page += f"<div{cls('cookie', 'consent', 'notice', 'cookie-banner', 'gdpr')}><p>{say(0, 4, 30)}</p><button>{say(0, 1, 2, '')}</button></div>"
         if chance(0.5):
