@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import heapq
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -214,8 +215,8 @@ def near_duplicates(vectors: DataFrame, least: float = 0.95) -> DataFrame:
     """Every row of ``vectors(vec_id, embedding)`` with its links by cosine of ``least`` or more.
 
     Equal vectors are searched for once and link with each other. Null or zero vectors, and
-    those with null or non-finite components, link with nothing; vectors of another length
-    than most link with equal ones only. Repeated ids count as vectors of their own; null
+    those with null or non-finite components, link with nothing; vectors of different lengths
+    do not link with each other. Repeated ids count as vectors of their own; null
     ids stay null and give no component id unless there is no other; an empty table gives no
     rows.
     """
@@ -223,8 +224,9 @@ def near_duplicates(vectors: DataFrame, least: float = 0.95) -> DataFrame:
     base = base.withColumn("h", F.when(valid(F.col("e")), F.xxhash64("e")))
     groups = base.where("h is not null").groupBy("h").agg(F.min("vec_id").alias("least"), F.count(F.lit(1)).alias("copies"), F.any_value("e").alias("e"))
     groups = durable(groups)
-    usual = groups.groupBy(F.size("e").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    found = durable(links(groups.where(F.size("e") == (usual.d if usual else 0)).select(F.col("h").alias("node"), "e"), least))
+    lengths = [r.d for r in groups.groupBy(F.size("e").alias("d")).count().where("count > 1").orderBy("d").collect()]
+    # only vectors of one length can have a cosine; a table has few lengths
+    found = durable(reduce(DataFrame.unionByName, [links(groups.where(F.size("e") == d).select(F.col("h").alias("node"), "e"), least) for d in lengths or [0]]))
     root = components(found).dropDuplicates(["node"])
     ends = found.unionByName(found.select(F.col("b").alias("a"), F.col("a").alias("b")))
     more = ends.join(groups.select(F.col("h").alias("b"), "copies"), "b").groupBy(F.col("a").alias("h")).agg(F.sum("copies").alias("more"))
