@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .common import packed, unpacked
 from .textgrid import Words, chunks, tidy
 
 HASH_BITS = 16
@@ -143,7 +144,7 @@ def _sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int = TRAIN_ROWS, max_words: int = 4_000_000) -> Model:
+def train(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int = TRAIN_ROWS) -> Model:
     """Fit on at most ``most`` labelled documents that are not held out, taken by a hash of their id.
 
     Both classes get up to half of the rows. Rows with a null id, label or text are passed
@@ -196,17 +197,20 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> Data
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
-    """The rows of ``docs`` that the classifier does not reject, with their columns."""
-    others = [c for c in docs.columns if c != "text"]
+    """The rows of ``docs(doc_id, text, ...)`` that the classifier does not reject, with all their columns.
+
+    Null and empty texts are scored as empty ones, very long texts whole; repeated rows share
+    their fate; an empty table gives no rows; columns may have any names.
+    """
     model = train(docs, labels)
     held = docs.sparkSession.sparkContext.broadcast(model)
-    schema = docs.schema
+    rows = packed(docs).select("text", "rest")
 
     def good(batches):
         for b in batches:
-            for lo, hi in chunks(b.column(b.schema.names.index("text"))):
+            for lo, hi in chunks(b.column(0)):
                 part = b.slice(lo, hi - lo)
-                z = raw_scores(held.value, *featurize(part.column(b.schema.names.index("text"))))
+                z = raw_scores(held.value, *featurize(part.column(0)))
                 yield part.filter(pa.array(1 / (1 + np.exp(-np.clip(z, -30, 30))) >= threshold))
 
-    return docs.select(*others, "text").mapInArrow(good, docs.select(*others, "text").schema).select(*schema.names)
+    return unpacked(rows.mapInArrow(good, rows.schema), docs.columns)

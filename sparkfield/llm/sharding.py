@@ -39,12 +39,13 @@ def grant(demand: dict[tuple[int, int, int], int], sizes: list[int], free: list[
     return given
 
 
-def balanced_label_propagation(nodes: DataFrame, total: int, n_shards: int = 16, rounds: int = 6) -> DataFrame:
+def balanced_label_propagation(nodes: DataFrame, total: int, n_shards: int = 16, rounds: int = 24) -> DataFrame:
     """Assign ``nodes(uid, grp, ...)`` to shards whose row counts differ by at most one.
 
     ``uid`` is unique; documents with the same non-null ``grp`` are linked. Null groups and
     groups of one are free to go anywhere. Returns the input columns with ``shard`` and
-    ``slot`` (0, 1, 2 ... within the shard).
+    ``slot`` (0, 1, 2 ... within the shard). Rounds end when the rows away from their group's
+    shard no longer become fewer by a fiftieth (or after ``rounds``).
     """
     many = nodes.where("grp is not null").groupBy("grp").agg(F.count(F.lit(1)).alias("_size")).where("_size > 1")
     state = nodes.join(many.select("grp", F.lit(True).alias("_linked")), "grp", "left").withColumn("_linked", F.coalesce("_linked", F.lit(False)))
@@ -52,6 +53,7 @@ def balanced_label_propagation(nodes: DataFrame, total: int, n_shards: int = 16,
     state = durable(state.withColumn("shard", (F.col("_pos") % n_shards).cast("int")).drop("_all", "_pos"))
     want_size = [total // n_shards + (s < total % n_shards) for s in range(n_shards)]
 
+    away = float("inf")
     for _ in range(rounds):
         counted = {(r.shard, r._linked): r.n for r in state.groupBy("shard", "_linked").agg(F.count(F.lit(1)).alias("n")).collect()}
         sizes = [counted.get((s, True), 0) + counted.get((s, False), 0) for s in range(n_shards)]
@@ -63,8 +65,9 @@ def balanced_label_propagation(nodes: DataFrame, total: int, n_shards: int = 16,
         offers = held.join(best, "grp").where("shard <> _to").select("grp", "shard", "_to", F.least(F.floor(F.log2((F.col("_top") - F.col("n") + 1).cast("double"))), F.lit(GAIN_LEVELS)).cast("int").alias("_gain"), "n")
         demand = {(r.shard, r._to, r._gain): r.n for r in offers.groupBy("shard", "_to", "_gain").agg(F.sum("n").alias("n")).collect()}
         given = {k: n for k, n in grant(demand, sizes, free).items() if n}
-        if not given:
+        if not given or sum(demand.values()) > 0.98 * away:
             break
+        away = sum(demand.values())
         session = state.sparkSession
         quota = session.createDataFrame([(*k, n) for k, n in given.items()], "shard int, _to int, _gain int, _quota long")
         movers = state.where("_linked").join(offers.drop("n"), ["grp", "shard"]).select("uid", "shard", "_to", "_gain")
@@ -103,7 +106,7 @@ def _level(state: DataFrame, total: int, n_shards: int, want: list[int]) -> Data
     return gapless(state, ["shard"], "uid", "slot", total).drop("_linked")
 
 
-def shard_documents(docs: DataFrame, n_shards: int = 16, rounds: int = 6) -> DataFrame:
+def shard_documents(docs: DataFrame, n_shards: int = 16, rounds: int = 24) -> DataFrame:
     """Put every row of ``docs`` into a shard; documents with equal texts are linked.
 
     The law is ``rows``: shard counts are at most one apart, whatever the texts' sizes. A
