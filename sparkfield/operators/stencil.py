@@ -75,6 +75,44 @@ def _across_barriers(grid: Grid, axis: int, coords: list[Column], central: Colum
     return central if out is None else out.otherwise(central)
 
 
+#: How a second difference is taken at a point: by its two neighbours, by the next two, by the two before, or not at all.
+CENTRAL, FORWARD, BACKWARD, NONE = range(4)
+
+
+def second_difference_case(grid: Grid, axis: int) -> tuple[Column, Column]:
+    """(case, value beyond a DIRICHLET face) of a grid's points along an axis, from their indices alone.
+
+    For steps in arrays, where ``derivative``'s windows are not at hand.
+    """
+    n, h, at, coords = grid.dims[axis], float(grid.spacing[axis]), F.col(grid.index[axis]), grid.coords()
+    if n < 3:
+        return F.lit(NONE), F.lit(0.0)
+    inner = None
+    minus, plus = _shifted(coords, grid, axis, -1), _shifted(coords, grid, axis, 1)
+    for b in grid.barriers:
+        if not b.active:
+            continue
+        here, below, above = b.distance(coords), b.distance(minus), b.distance(plus)
+        met = ((below * above < 0) | (here * below < 0) | (here * above < 0)) & (b.holds(coords, h) | b.holds(minus, h) | b.holds(plus, h))
+        case = F.lit(CENTRAL)
+        if b.kind == "REFLECT":
+            ahead, behind = F.when(at + 2 < n, FORWARD).otherwise(NONE), F.when(at >= 2, BACKWARD).otherwise(NONE)
+            case = F.when(F.abs(here) < h, NONE).when((here > 0) & (below < 0), ahead).when((here <= 0) & (above > 0), behind).otherwise(CENTRAL)
+        inner = (F if inner is None else inner).when(met, case)
+    inner = F.lit(CENTRAL) if inner is None else inner.otherwise(CENTRAL)
+    first, last = grid.boundaries[2 * axis], grid.boundaries[2 * axis + 1]
+    edge = {"DIRICHLET": (CENTRAL, CENTRAL), "OPEN": (NONE, NONE)}
+    out = F.when(at == 0, edge.get(first.kind, (FORWARD,))[0]).when(at == n - 1, edge.get(last.kind, (0, BACKWARD))[1]).otherwise(inner)
+    for b in grid.barriers:
+        if b.active and abs(b.normal[axis]) > {"REFLECT": 0.01, "NEUMANN": 0.01, "DIRICHLET": 0.1}.get(b.kind, 2.0):
+            out = F.when(b.in_box(coords, h) & b.holds(coords, h), NONE).otherwise(out)
+    beyond = F.lit(0.0)
+    for face, k in ((first, 0), (last, n - 1)):
+        if face.kind == "DIRICHLET":
+            beyond = F.when(at == k, face.at(coords)).otherwise(beyond)
+    return out, beyond
+
+
 def laplacian(grid: Grid, name: str = "u") -> Column:
     """Sum of second differences over the axes of three points or more."""
     out = F.lit(0.0)

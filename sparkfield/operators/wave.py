@@ -155,69 +155,117 @@ def run(state: DataFrame, grid: Grid, c2dt2: float, steps: int, width: int = 0,
     return state
 
 
-def _advance(u: np.ndarray, p: np.ndarray, c2dt2: float, hx: float, hy: float) -> np.ndarray:
-    """The next field with OPEN faces, whose second differences are zero."""
-    lap = np.zeros_like(u)
-    lap[1:-1, :] += (u[:-2, :] - 2.0 * u[1:-1, :] + u[2:, :]) / (hx * hx)
-    lap[:, 1:-1] += (u[:, :-2] - 2.0 * u[:, 1:-1] + u[:, 2:]) / (hy * hy)
-    return 2.0 * u - p + c2dt2 * lap
-
-
-def _sigma(dims: tuple[int, int], width: int) -> np.ndarray:
-    i, j = np.arange(dims[0])[:, None], np.arange(dims[1])[None, :]
-    d = np.minimum(np.minimum(i, dims[0] - 1 - i), np.minimum(j, dims[1] - 1 - j))
-    return np.where(d < width, SIGMA_MAX * (1.0 - d / max(width, 1)) ** 2, 0.0)
+#: How points are differenced along the two axes, and what lies beyond their faces.
+CASES = ("_case0", "_case1", "_beyond0", "_beyond1")
+
+
+def _with_cases(state: DataFrame, grid: Grid) -> DataFrame:
+    """``state`` with CASES, so that arrays honour faces and barriers as windows do."""
+    (c0, g0), (c1, g1) = (stencil.second_difference_case(grid, a) for a in (0, 1))
+    return state.withColumns(dict(zip(CASES, (c0.cast("int"), c1.cast("int"), g0.cast("double"), g1.cast("double")), strict=True)))
+
+
+class _Cells:
+    """A rectangle of a grid from its cell ``lo`` on, as arrays."""
+
+    def __init__(self, pdf: pd.DataFrame, grid: Grid, lo: tuple[int, int], shape: tuple[int, int], width: int, dt: float):
+        self.grid, self.lo, self.place = grid, lo, (pdf.i.to_numpy() - lo[0], pdf.j.to_numpy() - lo[1])
+        fill = lambda c, kind=float: self.put(np.zeros(shape, kind), pdf[c].to_numpy())
+        self.u, self.p = fill("u_curr"), fill("u_prev")
+        self.case, self.beyond = [fill(c, np.int8) for c in CASES[:2]], [fill(c) for c in CASES[2:]]
+        i, j = np.arange(shape[0])[:, None] + lo[0], np.arange(shape[1])[None, :] + lo[1]
+        d = np.minimum(np.minimum(i, grid.dims[0] - 1 - i), np.minimum(j, grid.dims[1] - 1 - j))
+        self.sigma = np.where(d < width, SIGMA_MAX * (1.0 - d / max(width, 1)) ** 2, 0.0) * dt if width else None
+
+    def put(self, field: np.ndarray, values) -> np.ndarray:
+        field[self.place] = values
+        return field
+
+    def _second_difference(self, axis: int) -> np.ndarray:
+        u, case, beyond = (np.moveaxis(x, axis, 0) for x in (self.u, self.case[axis], self.beyond[axis]))
+        n, h = len(u), float(self.grid.spacing[axis])
+        wide = np.zeros((n + 4, u.shape[1]))
+        wide[2:-2] = u
+        out = wide[1:-3].copy()  # the value before
+        if self.lo[axis] == 0:
+            out[0] = beyond[0]
+        out -= 2.0 * u
+        after = wide[3:-1]
+        if self.lo[axis] + n == self.grid.dims[axis]:
+            after = after.copy()
+            after[-1] = beyond[-1]
+        out += after
+        for kind, s in ((stencil.FORWARD, 1), (stencil.BACKWARD, -1)):
+            at = np.nonzero(case == kind)
+            if len(at[0]):
+                k = at[0] + 2
+                far, near, f0 = wide[np.clip(k + 2 * s, 0, n + 3), at[1]], wide[k + s, at[1]], u[at]
+                out[at] = far - 2.0 * near + f0 if s > 0 else f0 - 2.0 * near + far
+        out /= h * h
+        out[case == stencil.NONE] = 0.0
+        return np.moveaxis(out, 0, axis)
+
+    def step(self, c2dt2: float) -> None:
+        u, p = self.u, self.p
+        after = 2.0 * u - p + c2dt2 * (self._second_difference(0) + self._second_difference(1))
+        if self.sigma is not None:
+            after = np.where(self.sigma > 0, (2.0 - self.sigma) * u - (1.0 - self.sigma) * p + (after - 2.0 * u + p), after)
+        self.u, self.p = after, u
+
+    def frame(self) -> pd.DataFrame:
+        i, j = np.indices(self.u.shape)
+        return pd.DataFrame({"i": (i + self.lo[0]).ravel().astype(np.int32), "j": (j + self.lo[1]).ravel().astype(np.int32), "u_curr": self.u.ravel(), "u_prev": self.p.ravel()})
 
 
 def run_fused(state: DataFrame, grid: Grid, c2dt2: float, steps: int, by: Sequence[str], width: int = 0, dt: float = 0.0, every: int | None = None) -> DataFrame:
-    """Many steps of each simulation in one task; rows of every ``every``-th step, or of the last one."""
-    hx, hy = grid.spacing
+    """Many steps of each simulation in one task, faces and barriers included; rows of every ``every``-th step, or of the last one."""
     kinds = {f.name: f.dataType.simpleString() for f in state.schema.fields}
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in by) + ", step int, i int, j int, u_curr double, u_prev double"
-    sigma = _sigma(grid.dims, width) * dt
 
     def simulate(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        u, p = np.zeros(grid.dims), np.zeros(grid.dims)
-        u[pdf.i, pdf.j], p[pdf.i, pdf.j] = pdf.u_curr, pdf.u_prev
-        i, j = np.indices(grid.dims)
-        frames = []
+        cells, frames = _Cells(pdf, grid, (0, 0), grid.dims, width, dt), []
         for n in range(1, steps + 1):
-            after = _advance(u, p, c2dt2, hx, hy)
-            if width:
-                after = np.where(sigma > 0, (2.0 - sigma) * u - (1.0 - sigma) * p + (after - 2.0 * u + p), after)
-            u, p = after, u
+            cells.step(c2dt2)
             if n == steps or (every and n % every == 0):
-                frame = pd.DataFrame({"step": np.int32(n), "i": i.ravel().astype(np.int32), "j": j.ravel().astype(np.int32), "u_curr": u.ravel(), "u_prev": p.ravel()})
-                frames.append(frame.assign(**dict(zip(by, key, strict=True)))[[*by, "step", "i", "j", "u_curr", "u_prev"]])
+                frames.append(cells.frame().assign(step=np.int32(n), **dict(zip(by, key, strict=True)))[[*by, "step", "i", "j", "u_curr", "u_prev"]])
         return pd.concat(frames)
 
-    return state.groupBy(*by).applyInPandas(simulate, schema)
+    return _with_cases(state.select(*by, "i", "j", "u_curr", "u_prev"), grid).groupBy(*by).applyInPandas(simulate, schema)
 
 
-def run_tiled(state: DataFrame, grid: Grid, c2dt2: float, steps: int, tile: int = 64, block: int = 8) -> DataFrame:
-    """Steps on a grid too large for one task: tiles with a halo of ``block`` cells advance ``block`` steps between exchanges."""
-    hx, hy = grid.spacing
-    nx, ny = grid.dims
+def run_tiled(state: DataFrame, grid: Grid, c2dt2: float, steps: int, tile: int = 64, block: int = 8, by: Sequence[str] = (), width: int = 0, dt: float = 0.0) -> DataFrame:
+    """Steps on grids too large for one task: tiles with a halo advance ``block`` steps between exchanges.
+
+    Near a halo's cut edge cells go wrong by one cell a step, by two where one-sided
+    differences at faces or barriers reach that far; the halo is that much wider than a tile.
+    """
+    (nx, ny), by = grid.dims, list(by)
+    speed = 2 if grid.barriers or any(b.kind not in ("OPEN", "DIRICHLET") for b in grid.boundaries) else 1
+    kinds = {f.name: f.dataType.simpleString() for f in state.schema.fields}
+    schema = "".join(f"`{c}` {kinds[c]}, " for c in by) + "i int, j int, u_curr double, u_prev double"
 
     def advance(n: int):
         def f(key, pdf: pd.DataFrame) -> pd.DataFrame:
-            ti, tj = key
-            lo, hi = (max(0, ti * tile - n), max(0, tj * tile - n)), (min(nx, (ti + 1) * tile + n), min(ny, (tj + 1) * tile + n))
-            u, p = np.zeros((hi[0] - lo[0], hi[1] - lo[1])), np.zeros((hi[0] - lo[0], hi[1] - lo[1]))
-            u[pdf.i - lo[0], pdf.j - lo[1]], p[pdf.i - lo[0], pdf.j - lo[1]] = pdf.u_curr, pdf.u_prev
-            for _ in range(n):  # cells near a cut edge go wrong by one a step, within the halo
-                u, p = _advance(u, p, c2dt2, hx, hy), u
-            i, j = np.indices(u.shape)
-            out = pd.DataFrame({"i": (i + lo[0]).ravel().astype(np.int32), "j": (j + lo[1]).ravel().astype(np.int32), "u_curr": u.ravel(), "u_prev": p.ravel()})
-            return out[(out.i // tile == ti) & (out.j // tile == tj)]
+            (ti, tj), r = key[-2:], n * speed
+            lo, hi = (max(0, ti * tile - r), max(0, tj * tile - r)), (min(nx, (ti + 1) * tile + r), min(ny, (tj + 1) * tile + r))
+            cells = _Cells(pdf, grid, lo, (hi[0] - lo[0], hi[1] - lo[1]), width, dt)
+            for _ in range(n):
+                cells.step(c2dt2)
+            out = cells.frame()
+            out = out[(out.i // tile == ti) & (out.j // tile == tj)]
+            return out.assign(**dict(zip(by, key[:-2], strict=True)))[[*by, "i", "j", "u_curr", "u_prev"]]
 
         return f
 
+    def tiles(c: Column, size: int, r: int) -> Column:
+        """All tiles whose halo holds a cell."""
+        return F.explode(F.sequence(F.floor(F.greatest(c - r, F.lit(0)) / tile), F.floor(F.least(c + r, F.lit(size - 1)) / tile)))
+
     while steps:
         n = min(block, steps)
-        reach = lambda c, size: F.array_distinct(F.array(F.floor(F.greatest(c - n, F.lit(0)) / tile), F.floor(c / tile), F.floor(F.least(c + n, F.lit(size - 1)) / tile)))  # noqa: E731, B023
-        dealt = state.select("i", "j", "u_curr", "u_prev", F.explode(reach(F.col("i"), nx)).alias("ti")).withColumn("tj", F.explode(reach(F.col("j"), ny)))
-        state = dealt.groupBy("ti", "tj").applyInPandas(advance(n), "i int, j int, u_curr double, u_prev double")
+        dealt = _with_cases(state.select(*by, "i", "j", "u_curr", "u_prev"), grid)
+        dealt = dealt.withColumn("_ti", tiles(F.col("i"), nx, n * speed)).withColumn("_tj", tiles(F.col("j"), ny, n * speed))
+        state = dealt.groupBy(*by, "_ti", "_tj").applyInPandas(advance(n), schema)
         steps -= n
         if steps:
             state = durable(state)

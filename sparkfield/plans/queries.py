@@ -567,7 +567,7 @@ def krylov_scalar(spark, sf_dir):
     return solvers.newton_krylov(rows, system, ["p_partkey"], {"x": "s", "y": 1.0}).select("p_partkey", F.round("x", 3).alias("x"), F.round("y", 3).alias("y"), "status")
 
 
-@query("WITH r AS (SELECT n_nationkey AS grid_id, CAST(i AS INTEGER) AS i FROM nation CROSS JOIN (SELECT unnest(range(21)) AS i)) SELECT grid_id, i, round((n + 1) * i * (20 - i) / 800, 6) + 0.0 AS u, 'SUCCESS' AS status FROM (SELECT *, grid_id AS n FROM r)")
+@query("WITH r AS (SELECT n_nationkey AS grid_id, CAST(i AS INTEGER) AS i FROM nation CROSS JOIN (SELECT unnest(range(21)) AS i)) SELECT grid_id, i, round((n + 1) * i * (20 - i) / 800, 5) + 0.0 AS u, 'SUCCESS' AS status FROM (SELECT *, grid_id AS n FROM r)")
 def krylov_poisson(spark, sf_dir):
     """-u'' = f with f one more than the nation's key, and both ends held at zero."""
     h = 0.05
@@ -580,7 +580,7 @@ def krylov_poisson(spark, sf_dir):
         return out
 
     out = solvers.krylov_on_grids(cells, ["grid_id"], residual, ["u"], ["i"])
-    return out.select("grid_id", "i", (F.round(F.round(F.col("u") * 800) / 800, 6) + 0.0).alias("u"), "status")
+    return out.select("grid_id", "i", (F.round("u", 5) + 0.0).alias("u"), "status")
 
 
 @query("SELECT * FROM (VALUES ('chain', true, 'x,y,z'), ('ring', true, NULL), ('open', false, 'x')) AS t(name, well_posed, solve_order)")
@@ -599,8 +599,11 @@ def system_analysis(spark, sf_dir):
 _STEP = "s{b} AS (SELECT i, j, 2.0 * u - p + 0.0625 * {lap} AS u, u AS p FROM s{a})"
 
 
-def _steps_sql(n):
-    return ", ".join(["s0 AS (SELECT i, j, u, u AS p FROM g)"] + [_STEP.format(a=k, b=k + 1, lap=sql_laplacian()) for k in range(n)])
+def _steps_sql(n, lap=None):
+    return ", ".join(["s0 AS (SELECT i, j, u, u AS p FROM g)"] + [_STEP.format(a=k, b=k + 1, lap=lap or sql_laplacian()) for k in range(n)])
+
+
+_LAP_BARRED = f"(0.0 + {_sql_d2_barrier('i', 84, W_I, 'j', _B2, '({x} - 30.25)')} + {_sql_d2_barrier('j', 50, W_J, 'i', _B1, '({y} - 12.0)')})"
 
 
 def _state(spark, sf_dir):
@@ -623,6 +626,17 @@ def wave_tiled(spark, sf_dir):
     return wave.run_tiled(_state(spark, sf_dir), lenses.months_grid(), 0.0625, 3, tile=16, block=2).select("i", "j", "u_curr", "u_prev")
 
 
+@query(f"WITH {GRID}, {_steps_sql(3, _LAP_BARRED)} SELECT i, j, round(u, 6) + 0.0 AS u_curr, round(p, 6) + 0.0 AS u_prev FROM s3")
+def wave_fused_barrier(spark, sf_dir):
+    state = _state(spark, sf_dir).withColumn("sim", F.lit(0))
+    return wave.run_fused(state, _barred(), 0.0625, 3, ["sim"]).select("i", "j", six("u_curr").alias("u_curr"), six("u_prev").alias("u_prev"))
+
+
+@query(f"WITH {GRID}, {_steps_sql(3, _LAP_BARRED)} SELECT i, j, round(u, 6) + 0.0 AS u_curr, round(p, 6) + 0.0 AS u_prev FROM s3")
+def wave_tiled_barrier(spark, sf_dir):
+    return wave.run_tiled(_state(spark, sf_dir), _barred(), 0.0625, 3, tile=16, block=2).select("i", "j", six("u_curr").alias("u_curr"), six("u_prev").alias("u_prev"))
+
+
 def _sponge_sql(distance):
     d = f"least({distance})"
     sig = f"(10.0 * (1.0 - {d} / 8.0) * (1.0 - {d} / 8.0))"

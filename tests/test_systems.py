@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from sparkfield.functions.expr import scalar, var
 from sparkfield.operators import env, graph, render, solvers, wave
+from sparkfield.operators.boundary import Boundary
 from sparkfield.operators.grid import Grid
 from sparkfield.operators.systems import System
 from sparkfield.streaming import control
@@ -97,6 +98,20 @@ def test_wave_paths_agree(spark):
     assert wave.self_energy(2.0, 1.0) == pytest.approx(2 * np.pi)
 
 
+def test_wave_paths_agree_at_walls(spark):
+    frame = lambda df: {(r.i, r.j): (round(r.u_curr, 9), round(r.u_prev, 9)) for r in df.collect()}
+    faces = (Boundary("DIRICHLET", 0.3), Boundary("REFLECT"), Boundary("OPEN"), Boundary("NEUMANN"))
+    walled = Grid((18, 14), (0.5, 0.5), boundaries=faces)
+    barred = Grid((18, 14), (0.5, 0.5)).with_barrier((1.0, 1.0), (4.0, 3.0), (-3.0,), (3.0,)).with_barrier((0.0, 1.0), (2.0, 5.0), (-1.5,), (1.5,), "DIRICHLET")
+    for g in (walled, barred):
+        u = g.init(spark, lambda a, b: wave.gaussian(a, b, 4.0, 3.0, 1.0, 1.0), "u_curr").withColumn("u_prev", F.col("u_curr"))
+        plain = frame(wave.run(u, g, 0.0625, 3))
+        assert plain == frame(wave.run_fused(u.withColumn("s", F.lit(1)), g, 0.0625, 3, ["s"]))
+        assert plain == frame(wave.run_tiled(u.withColumn("s", F.lit(1)), g, 0.0625, 3, tile=4, block=3, by=["s"]).drop("s"))
+    u = u.withColumn("s", F.lit(1))
+    assert frame(wave.run_fused(u, g, 0.0625, 3, ["s"], 4, 0.1)) == frame(wave.run_tiled(u, g, 0.0625, 3, tile=2, block=3, width=4, dt=0.1))
+
+
 def test_sources_and_paint(spark):
     s = spark.createDataFrame([(0, 1.0, 1.0, 1.0, True)], "ord int, x double, y double, radius double, active boolean")
     assert wave.delete_source(s, 0).where("active").count() == 0 and wave.clear_sources(s).where("active").count() == 0
