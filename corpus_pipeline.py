@@ -37,7 +37,7 @@ def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     are kept, whatever their names.
     """
     base = keyed(packed(docs), ["text", "rest"])
-    found = ngram_join.classes(base.select(F.col("key").alias("doc_id"), "text"))
+    found = ngram_join.classes(base.select(F.col("key").alias("doc_id"), "text"), count_links=False)
     gone = durable(found.where(~F.col("kept")).select(F.col("doc_id").alias("gone")))
     return _without(base, docs.columns, gone, "gone")
 

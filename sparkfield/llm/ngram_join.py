@@ -104,21 +104,24 @@ def least_matches(threshold: float, tolerance: float) -> tuple[int, ...]:
     return tuple(out)
 
 
-def survives(a: np.ndarray, b: np.ndarray, threshold: float, tolerance: float) -> bool:
-    m = 0
+def survivors(a: np.ndarray, b: np.ndarray, threshold: float, tolerance: float) -> np.ndarray:
+    """Rows at which two matrices of MinHash values stay candidates, a block of values at a time."""
+    open_, matches = np.arange(len(a)), np.zeros(len(a), np.int64)
     for k, least in enumerate(least_matches(threshold, tolerance)):
-        m += int((a[k * BLOCK : (k + 1) * BLOCK] == b[k * BLOCK : (k + 1) * BLOCK]).sum())
-        if m < least:
-            return False
-    return True
+        part = slice(k * BLOCK, (k + 1) * BLOCK)
+        matches = matches + (a[open_, part] == b[open_, part]).sum(1)
+        open_, matches = open_[matches >= least], matches[matches >= least]
+    return open_
+
+
+def _matrix(sigs: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(sigs.to_pylist()), np.uint8).reshape(len(sigs), HASHES)
 
 
 @tidy
 def _prune(batches: Iterator[pa.RecordBatch], threshold: float, tolerance: float) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        x, y = b.column(2), b.column(3)
-        keep = [survives(np.frombuffer(x[i].as_buffer(), np.uint8), np.frombuffer(y[i].as_buffer(), np.uint8), threshold, tolerance) for i in range(len(b))]
-        yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        yield b.select(["a", "b"]).take(pa.array(survivors(_matrix(b.column(2)), _matrix(b.column(3)), threshold, tolerance)))
 
 
 def _cross(table: pa.Table, threshold: float, tolerance: float) -> pa.Table:
@@ -308,8 +311,8 @@ def group_degrees(groups: DataFrame, copies: DataFrame, threshold: float, tolera
     return found.groupBy("node").agg(F.sum("more").alias("more"))
 
 
-def classes(docs: DataFrame, threshold: float = 0.8, shingle: int = 5, tolerance: float = 1e-4) -> DataFrame:
-    """Every row of ``docs(doc_id, text)`` with its class and links.
+def classes(docs: DataFrame, threshold: float = 0.8, shingle: int = 5, tolerance: float = 1e-4, count_links: bool = True) -> DataFrame:
+    """Every row of ``docs(doc_id, text)`` with its class and links (``count_links=False``: without n_links, which takes no part in the classes).
 
     class_id is the smallest doc_id connected by links, n_links the number of other documents
     linked directly: those with the same text and, by verified similarity, with another, in
@@ -321,13 +324,17 @@ def classes(docs: DataFrame, threshold: float = 0.8, shingle: int = 5, tolerance
     known = base.where("node is not null").groupBy("node").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("least"))
     root = components(links).dropDuplicates(["node"])
     known = durable(known.join(root, "node", "left").withColumn("root", F.coalesce("root", "node")))
+    smallest = known.groupBy("root").agg(F.min("least").alias("class_id"))
+    own = F.coalesce("class_id", "doc_id")
+    if not count_links:
+        out = base.join(known.join(smallest, "root").select("node", "class_id"), "node", "left")
+        return out.select("doc_id", own.alias("class_id"), F.col("doc_id").eqNullSafe(own).alias("kept"))
     # pairs within one large group are counted there
     of = groups.select("node", "root")
     apart = links.join(of.toDF("a", "ra"), "a", "left").join(of.toDF("b", "rb"), "b", "left").where(~F.coalesce(F.col("ra") == F.col("rb"), F.lit(False)))
     ends = apart.select("a", "b").unionByName(apart.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
     degree = ends.join(known.select(F.col("node").alias("b"), "copies"), "b").select(F.col("a").alias("node"), F.col("copies").alias("more"))
     degree = degree.unionByName(durable(group_degrees(groups, known, threshold, tolerance))).groupBy("node").agg(F.sum("more").alias("more"))
-    smallest = known.groupBy("root").agg(F.min("least").alias("class_id"))
     known = known.join(smallest, "root").join(degree, "node", "left").select("node", "class_id", (F.col("copies") - 1 + F.coalesce("more", F.lit(0))).alias("n_links"))
     out = base.join(known, "node", "left")
-    return out.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.col("doc_id").eqNullSafe(F.coalesce("class_id", "doc_id")).alias("kept"))
+    return out.select("doc_id", own.alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.col("doc_id").eqNullSafe(own).alias("kept"))

@@ -282,8 +282,8 @@ def dense_enough(hits: np.ndarray, least: int, threshold: float) -> np.ndarray:
 
 def _partners(table: pa.Table, least: int, threshold: float, shingle: int) -> pa.Table:
     """For each asking window of the blocks in ``table`` an earlier window of its key that seems to near-repeat it, if there is one."""
-    table = table.sort_by([("k", "ascending"), ("x", "ascending"), ("y", "ascending"), ("pos", "ascending")])
-    k, x, y, side, ask = (table.column(c).to_numpy() for c in ("k", "x", "y", "side", "ask"))
+    table = table.sort_by([("k", "ascending"), ("x", "ascending"), ("y", "ascending"), ("pos", "ascending"), ("ask", "ascending")])
+    k, x, y, pos, ask = (table.column(c).to_numpy() for c in ("k", "x", "y", "pos", "ask"))
     parts = [np.frombuffer(p.as_buffer(), np.uint16) for p in table.column("part").combine_chunks()]
     new = np.ones(len(k), bool)
     new[1:] = (k[1:] != k[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])
@@ -291,13 +291,11 @@ def _partners(table: pa.Table, least: int, threshold: float, shingle: int) -> pa
     has = np.zeros((1 << 16) + 1, bool)
     a, o = [], []
     for lo, hi in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
-        if not ask[lo:hi].any():
+        if not ask[lo:hi].any() or ask[lo:hi].all():
             continue
         both = in_common(parts[lo:hi])
         sizes = np.minimum(least, both.diagonal())
-        likely = (both >= threshold * np.minimum(sizes[:, None], sizes) - 1e-3) & ask[lo:hi, None] & np.tri(hi - lo, k=-1, dtype=bool)
-        if x[lo] != y[lo]:
-            likely &= side[lo:hi, None] != side[lo:hi]
+        likely = (both >= threshold * np.minimum(sizes[:, None], sizes) - 1e-3) & ask[lo:hi, None] & ~ask[lo:hi] & (pos[lo:hi, None] > pos[lo:hi])
         padded = np.full((hi - lo, 2 * least - 1), 1 << 16)
         for j in range(hi - lo):
             padded[j, : len(parts[lo + j])] = parts[lo + j]
@@ -364,21 +362,23 @@ def repeats(base: DataFrame, bits: int, words: int = 50, shingle: int = 5, thres
         # answered windows stay as partners of those that still ask
         pool = stored(pool.join(heads.select("k", "o"), "k").where("pos > o").select("k", "pos", "w", "m").join(asking.select("k").distinct(), "k"))
     else:
-        counts = pool.groupBy("k").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
         own = asking.select(F.col("k").alias("_k"), F.col("pos").alias("_pos"))
-        counts = durable(counts)
-        pool = pool.join(counts, "k").join(own, (F.col("k") == F.col("_k")) & (F.col("pos") == F.col("_pos")), "left")
-        pool = stored(pool.select("k", "pos", "w", "m", "n", F.col("_k").isNotNull().alias("ask")))
-        wanted = pool.groupBy(F.shiftright("pos", bits).alias("_key")).agg(F.collect_list(F.struct("k", "pos", "w", "m", "ask", F.col("pos").bitwiseAND(mask).alias("c"))).alias("l"))
+        pool = pool.join(own, (F.col("k") == F.col("_k")) & (F.col("pos") == F.col("_pos")), "left").select("k", "pos", "w", "m", F.col("_k").isNotNull().alias("ask"))
+        pool = stored(pool)
+        # a key's askers in bx blocks meet all its windows in by blocks
+        size = lambda n: F.ceil(n / BLOCK).cast("int")
+        counts = durable(pool.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.count_if("ask").alias("a")).where("n > 1 and a > 0").select("k", size(F.col("a")).alias("bx"), size(F.col("n")).alias("by")))
+        wanted = pool.join(counts.select("k"), "k").groupBy(F.shiftright("pos", bits).alias("_key")).agg(F.collect_list(F.struct("k", "pos", "w", "m", "ask", F.col("pos").bitwiseAND(mask).alias("c"))).alias("l"))
         wanted = stored(wanted)  # a text's own windows
         likely, _ = split_by_keys(texts, "key", wanted, "_key")
         around = likely.join(wanted, F.col("key") == F.col("_key")).select("text", "l").mapInArrow(lambda it: _around(it, shingle, least), "k long, pos long, w long, m int, ask boolean, part binary")
-        around = around.join(counts.select("k", F.ceil(F.col("n") / BLOCK).cast("int").alias("b")), "k")
-        mine, other = F.col("mine"), F.col("other")
-        dealt = around.withColumn("mine", F.pmod(F.xxhash64("pos"), F.col("b")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("b") - 1)))
-        dealt = dealt.select("k", F.least(mine, other).alias("x"), F.greatest(mine, other).alias("y"), (mine > other).cast("int").alias("side"), "pos", "w", "m", "ask", "part")
-        tasks = pool.agg(F.sum(F.ceil(F.col("n") / BLOCK))).first()[0] or 0
-        dealt = dealt.groupBy(F.pmod(F.xxhash64("k", "x", "y"), F.lit(int(tasks) // TASK + 1)).alias("_task"))
+        around = stored(around).join(counts, "k")
+        block = lambda n: F.pmod(F.xxhash64("pos"), F.col(n)).cast("int")
+        every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+        dealt = around.withColumns({"x": every("bx"), "y": block("by"), "ask": F.lit(False)})
+        dealt = dealt.unionByName(around.where("ask").withColumns({"x": block("bx"), "y": every("by")})).drop("bx", "by")
+        tasks = counts.agg(F.sum(F.col("bx") * F.col("by") * 2 * BLOCK)).first()[0] or 0
+        dealt = dealt.groupBy(F.pmod(F.xxhash64("k", "x", "y"), F.lit(int(tasks) // (8 * TASK) + 8)).alias("_task"))
         met = dealt.applyInArrow(lambda t: _partners(t, least, threshold, shingle), "k long, pos long, w long, m int, o long, ow long, om int")
         found.append(verified(met))
     out = found[0]

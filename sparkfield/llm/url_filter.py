@@ -71,8 +71,8 @@ def features(df: DataFrame, suffixes: dict[str, float]) -> DataFrame:
     return df.withColumns({f"x_{k}": x[k].cast("double") for k in FEATURES})
 
 
-def labelled_urls(spark: SparkSession, n: int = TRAINING_URLS) -> DataFrame:
-    """A generated labelled set (url, bad): invented syllable hosts against hosts named as adverts, betting and the like."""
+def labelled_urls(spark: SparkSession, n: int = TRAINING_URLS, start: int = 0) -> DataFrame:
+    """A generated labelled set (url, bad) of the numbers from ``start`` up to ``n``: invented syllable hosts against hosts named as adverts, betting and the like."""
     pick = lambda salt, words: f"element_at(array({', '.join(repr(w) for w in words)}), cast(pmod(xxhash64(id, {salt}), {len(words)}) + 1 as int))"
     syllables = ("th", "an", "re", "tion", "er", "on", "ing", "st", "nd", "ha", "lo", "vi", "mar", "tel", "sun", "ke")
     bad_a = ("ads", "free", "cheap", "spam", "casino", "adult", "win", "hot", "click", "bet", "xxx", "loan", "best", "prize", "poker", "dating", "pills", "promo")
@@ -84,7 +84,7 @@ def labelled_urls(spark: SparkSession, n: int = TRAINING_URLS) -> DataFrame:
                       {pick(9, ('.example', '.example', '.site', ''))}, '.', {pick(10, ('com', 'net', 'org'))},
                       '/', {pick(11, ('en', 'de', 'fr', 'es', 'it'))}, '/', cast(pmod(xxhash64(id, 12), 1000) as string),
                       {pick(13, ('', '/', '.html', '#top', '?page=2&ref=x', '?utm_source=feed', '/a/b', '?id=7'))}) AS url, bad
-        FROM (SELECT id, cast(pmod(xxhash64(id, 0), 3) = 0 AS int) AS bad FROM range({n}))""")
+        FROM (SELECT id, cast(pmod(xxhash64(id, 0), 3) = 0 AS int) AS bad FROM range({start}, {n}))""")
 
 
 def _sigmoid(z):
