@@ -38,8 +38,8 @@ U = np.uint64
 SLACK = 8
 #: Groups into which one text's requests are dealt.
 SALTS = 256
-#: Windows of a block where all earlier windows of a key are compared, and rows of a task.
-BLOCK, TASK = 512, 4096
+#: Windows of a block where all earlier windows of a key are compared, rows of a task, and rows of a matrix of intersections.
+BLOCK, TASK, SIDE = 2048, 4096, 512
 
 
 def nearest_smaller(v: np.ndarray, text: np.ndarray) -> np.ndarray:
@@ -55,9 +55,23 @@ def nearest_smaller(v: np.ndarray, text: np.ndarray) -> np.ndarray:
         return i[v[near[i]] > v[i]]
 
     left = open_(np.arange(len(v)))
-    while len(left):
+    for _ in range(12):
         near[left] = near[near[left]]
         left = open_(left)
+    if not len(left):
+        return near
+    # long chains, as of equal values in periodic texts: by the least values of runs of 2**i
+    least = [v]
+    while 2 * (1 << len(least) - 1) <= len(v):
+        have = 1 << len(least) - 1
+        least.append(np.minimum(least[-1][:-have], least[-1][have:]))
+    at, first = near[left], np.maximum.accumulate(np.where(np.append(True, text[1:] != text[:-1]), np.arange(len(v)), 0))[left]
+    for i in range(len(least) - 1, -1, -1):
+        lo = at - (1 << i) + 1
+        ok = lo >= first
+        ok[ok] = least[i][lo[ok]] > v[left[ok]]
+        at = np.where(ok, lo - 1, at)
+    near[left] = np.where(at >= first, at, -1)
     return near
 
 
@@ -65,7 +79,7 @@ def compact_windows(grams: np.ndarray, bounds: np.ndarray, least: int, apart: in
     """For each hash function: (function, text, centre, first, last, last centre) of the windows of at least ``least`` tokens, as indices in the chunk.
 
     Equal centres less than ``least`` tokens apart within one stretch are one window, from the
-    first to the last of them; what lies ``apart`` or more behind the first is a second one,
+    first to the last of them; what lies ``apart`` or more behind the first begins another,
     so that a periodic stretch meets itself.
     """
     sizes = np.diff(bounds)
@@ -77,7 +91,8 @@ def compact_windows(grams: np.ndarray, bounds: np.ndarray, least: int, apart: in
     text_of = np.repeat(np.arange(len(sizes)), sizes)
     for i in range(HASHES):
         order = (((x ^ _XOR[i]) * _MUL[i]).astype(U) << U(32)) | np.arange(len(x), dtype=U)
-        centre = np.unique((sliding_least(order, least)[start] & U(0xFFFFFFFF)).astype(np.int64))
+        centre = (sliding_least(order, least)[start] & U(0xFFFFFFFF)).astype(np.int64)
+        centre = centre[np.append(True, centre[1:] != centre[:-1])]  # places of minima never go back
         text, v = text_of[centre], order[centre]
         before = nearest_smaller(v, text)
         after = len(v) - 1 - nearest_smaller(v[::-1], text[::-1])[::-1]
@@ -87,9 +102,13 @@ def compact_windows(grams: np.ndarray, bounds: np.ndarray, least: int, apart: in
         c = centre[by]
         tied = np.zeros(len(by), bool)
         tied[1:] = (before[by[1:]] == by[:-1]) & (v[by[1:]] >> U(32) == v[by[:-1]] >> U(32)) & (np.diff(c) < least)
-        far = c - c[np.maximum.accumulate(np.where(tied, 0, np.arange(len(by))))] >= apart
         head = ~tied
-        head[1:] |= far[1:] & ~far[:-1]
+        run = np.cumsum(head) << 40
+        ahead = np.flatnonzero(head)
+        while len(ahead):
+            then = np.searchsorted(run + c, run[ahead] + c[ahead] + apart)
+            ahead = then[(then < len(by)) & (run[np.minimum(then, len(by) - 1)] == run[ahead])]
+            head[ahead] = True
         at = np.flatnonzero(head)
         stop = np.append(at[1:], len(by)) - 1
         yield i, text[by[at]], c[at], lo[by[at]], hi[by[at]], c[stop]
@@ -245,13 +264,13 @@ def _verify(batches: Iterator[pa.RecordBatch], least: int, threshold: float, shi
 
 @tidy
 def _around(batches: Iterator[pa.RecordBatch], shingle: int, least: int) -> Iterator[pa.RecordBatch]:
-    """Each window with 16 bits of every shingle that a passage of least length around its centre can have."""
+    """Each window with 32 bits of every shingle that a passage of least length around its centre can have."""
     names = ["k", "pos", "w", "m", "ask"]
     for b in batches:
         at, flat, data, cut = b.column(1).offsets.to_numpy() - b.column(1).offsets[0].as_py(), b.column(1).flatten(), [], 0
         c = flat.field("c").to_numpy()
         for i, grams in _grams_of(b.column(0), shingle):
-            part = (grams >> U(48)).astype(np.uint16)
+            part = (grams >> U(32)).astype(np.uint32)
             data += [part[max(0, x - least + 1) : x + least].tobytes() for x in c[at[i] : at[i + 1]].tolist()]
             if len(data) >= 2000 or i + 1 == len(b):
                 own = flat.slice(cut, len(data))
@@ -265,14 +284,42 @@ def in_common(parts: list[np.ndarray], columns: int = 4096) -> np.ndarray:
     _, ids = np.unique(np.concatenate(parts), return_inverse=True)
     ids, row = np.divmod(np.unique(ids * len(parts) + row), len(parts))
     out = np.zeros((len(parts), len(parts)), np.float32)
-    for lo in range(0, int(ids[-1]) + 1, columns):
+    sizes = np.bincount(row, minlength=len(parts))
+    often = np.bincount(ids) > 1  # others are in one set only
+    row, ids = row[often[ids]], (np.cumsum(often) - 1)[ids[often[ids]]]
+    for lo in range(0, np.count_nonzero(often), columns):
         a, b = np.searchsorted(ids, [lo, lo + columns])
         m = np.zeros((len(parts), columns), np.float32)
         m[row[a:b], ids[a:b] - lo] = 1
         out += m @ m.T
+    np.fill_diagonal(out, sizes)
     return out
 
 
+def worth_comparing(ids: np.ndarray, row: np.ndarray, asks: np.ndarray, pos: np.ndarray, need: np.ndarray) -> np.ndarray:
+    """Rows that have ``need`` of their tokens in common with the rows of the other side taken together.
+
+    Tokens ``ids`` are distinct within a ``row``. A row with fewer cannot have as many in
+    common with any one of them, so it is left out, and then what only it held up. Rows are in
+    order of ``pos``; a window that is on both sides is not held up by itself.
+    """
+    here, last = np.ones(len(asks), bool), len(asks) + 1
+    twin = np.arange(len(asks))
+    same = np.flatnonzero(pos[1:] == pos[:-1])
+    twin[same], twin[same + 1] = same + 1, same
+    paired = twin != np.arange(len(asks))
+    most = int(ids.max(initial=-1)) + 1
+    while here.any() and np.count_nonzero(here) < last:
+        last = np.count_nonzero(here)
+        live = here[row]
+        ids, row = ids[live], row[live]
+        mine = asks[row]
+        asked, told = np.bincount(ids[mine], minlength=most), np.bincount(ids[~mine], minlength=most)
+        others = np.where(mine, told[ids], asked[ids]) - (paired & here[twin])[row]
+        here = here & (np.bincount(row[others > 0], minlength=len(asks)) >= need)
+    return here
+
+
 def dense_enough(hits: np.ndarray, least: int, threshold: float) -> np.ndarray:
     """Rows of ``hits`` with a stretch of ``least`` places or more of which the share ``threshold`` are true."""
     run = np.zeros((len(hits), hits.shape[1] + 1))
@@ -284,31 +331,44 @@ def _partners(table: pa.Table, least: int, threshold: float, shingle: int) -> pa
     """For each asking window of the blocks in ``table`` an earlier window of its key that seems to near-repeat it, if there is one."""
     table = table.sort_by([("k", "ascending"), ("x", "ascending"), ("y", "ascending"), ("pos", "ascending"), ("ask", "ascending")])
     k, x, y, pos, ask = (table.column(c).to_numpy() for c in ("k", "x", "y", "pos", "ask"))
-    parts = [np.frombuffer(p.as_buffer(), np.uint16) for p in table.column("part").combine_chunks()]
+    parts = [np.frombuffer(p.as_buffer(), np.uint32) for p in table.column("part").combine_chunks()]
     new = np.ones(len(k), bool)
     new[1:] = (k[1:] != k[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])
     ends = np.append(np.flatnonzero(new), len(k))
-    has = np.zeros((1 << 16) + 1, bool)
     a, o = [], []
     for lo, hi in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
         if not ask[lo:hi].any() or ask[lo:hi].all():
             continue
-        both = in_common(parts[lo:hi])
-        sizes = np.minimum(least, both.diagonal())
-        likely = (both >= threshold * np.minimum(sizes[:, None], sizes) - 1e-3) & ask[lo:hi, None] & ~ask[lo:hi] & (pos[lo:hi, None] > pos[lo:hi])
-        padded = np.full((hi - lo, 2 * least - 1), 1 << 16)
-        for j in range(hi - lo):
-            padded[j, : len(parts[lo + j])] = parts[lo + j]
-        for i in np.flatnonzero(likely.any(1)).tolist():
-            others = np.flatnonzero(likely[i])
-            has[parts[lo + i]] = True
-            others = others[dense_enough(has[padded[others]], least, threshold)]
-            has[parts[lo + i]] = False
-            for j in others[np.argsort(-both[i, others], kind="stable")].tolist():
-                if common_stretches(parts[lo + i], parts[lo + j], least, threshold, shingle):
-                    a.append(lo + i)
-                    o.append(lo + j)
+        n, cuts = hi - lo, np.cumsum([0, *(len(p) for p in parts[lo:hi])])
+        each, ids = np.unique(np.concatenate(parts[lo:hi]), return_inverse=True)
+        once, row = np.divmod(np.unique(ids * n + np.repeat(np.arange(n), np.diff(cuts))), n)
+        sizes = np.minimum(least, np.bincount(row, minlength=n))
+        here = worth_comparing(once, row, ask[lo:hi], pos[lo:hi], threshold * np.minimum(sizes, sizes.min()) - 1e-3)
+        asks, others = np.flatnonzero(here & ask[lo:hi]), np.flatnonzero(here & ~ask[lo:hi])
+        own = lambda i: ids[cuts[i] : cuts[i + 1]]  # noqa: B023, E731
+        has, met = np.zeros(len(each) + 1, bool), np.zeros(n, bool)
+        for left in range(0, len(asks), SIDE):
+            for right in range(0, len(others), SIDE):
+                i_, j_ = asks[left : left + SIDE], others[right : right + SIDE]
+                i_ = i_[~met[i_]]
+                if not len(i_):
                     break
+                both = in_common([own(i) for i in (*i_, *j_)])[: len(i_), len(i_) :]
+                likely = (both >= threshold * np.minimum(sizes[i_][:, None], sizes[j_]) - 1e-3) & (pos[lo + i_][:, None] > pos[lo + j_])
+                padded = np.full((len(j_), 2 * least - 1), len(each))
+                for at, j in enumerate(j_):
+                    padded[at, : cuts[j + 1] - cuts[j]] = own(j)
+                for at in np.flatnonzero(likely.any(1)).tolist():
+                    i, some = i_[at], np.flatnonzero(likely[at])
+                    has[own(i)] = True
+                    some = some[dense_enough(has[padded[some]], least, threshold)]
+                    has[own(i)] = False
+                    for j in some[np.argsort(-both[at, some], kind="stable")].tolist():
+                        if common_stretches(own(i), own(j_[j]), least, threshold, shingle):
+                            a.append(lo + i)
+                            o.append(lo + j_[j])
+                            met[i] = True
+                            break
     a, o = table.take(pa.array(a, pa.int64())), table.take(pa.array(o, pa.int64()))
     return pa.table([*(a.column(c) for c in ("k", "pos", "w", "m")), *(o.column(c) for c in ("pos", "w", "m"))], ["k", "pos", "w", "m", "o", "ow", "om"])
 

@@ -158,6 +158,40 @@ def test_block_intersections():
     assert passages.dense_enough(hits, 46, 0.8).tolist() == [True, False, False]
 
 
+def test_rows_worth_comparing():
+    """No pair with enough in common is left out; what is left out has too little in common with all that stay."""
+    rng = np.random.default_rng(5)
+    for _ in range(50):
+        n, need = int(rng.integers(2, 40)), int(rng.integers(1, 5))
+        pos = np.sort(np.concatenate([np.arange(n // 2), np.arange(n - n // 2)]))
+        asks = np.append(pos[1:] == pos[:-1], False)
+        sets = {p: set(rng.choice(60, int(rng.integers(0, 12)), replace=False).tolist()) for p in set(pos.tolist())}
+        ids = np.array([t for p in pos.tolist() for t in sorted(sets[p])], int)
+        row = np.repeat(np.arange(n), [len(sets[p]) for p in pos.tolist()])
+        got = passages.worth_comparing(ids, row, asks, pos, np.full(n, need))
+        other = lambda i: [j for j in range(n) if asks[j] != asks[i] and pos[j] != pos[i]]  # noqa: B023, E731
+        for i in range(n):
+            mine = sets[int(pos[i])]
+            if any(len(mine & sets[int(pos[j])]) >= need for j in other(i)):
+                assert got[i]
+            kept = set().union(*(sets[int(pos[j])] for j in other(i) if got[j]))
+            assert got[i] == (len(mine & kept) >= need)
+
+
+def test_nearest_smaller_in_long_rising_and_falling_runs():
+    rng = np.random.default_rng(6)
+    for v in (np.arange(3000), np.arange(3000)[::-1], rng.permutation(3000), np.append(np.arange(1000, 2500), np.arange(1500)[::-1])):
+        text = np.sort(rng.integers(0, 3, 3000))
+        for values, of in ((v, text), (v[::-1], text[::-1])):
+            want, stack = [], []
+            for i, x in enumerate(values.tolist()):
+                while stack and (values[stack[-1]] > x or of[stack[-1]] != of[i]):
+                    stack.pop()
+                want.append(stack[-1] if stack else -1)
+                stack.append(i)
+            assert passages.nearest_smaller(values, of).tolist() == want
+
+
 def test_passages_whose_keys_all_occur_in_earlier_texts(make, monkeypatch):
     """Each stretch of a passage is also in six earlier texts that do not repeat it."""
     monkeypatch.setattr(passages, "BLOCK", 3)
