@@ -278,21 +278,26 @@ def _around(batches: Iterator[pa.RecordBatch], shingle: int, least: int) -> Iter
                 cut, data = cut + len(data), []
 
 
-def in_common(parts: list[np.ndarray], columns: int = 4096) -> np.ndarray:
-    """Sizes of the intersections of all pairs of a block's sets, by products of 0-1 matrices a few columns wide."""
-    row = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
-    _, ids = np.unique(np.concatenate(parts), return_inverse=True)
-    ids, row = np.divmod(np.unique(ids * len(parts) + row), len(parts))
-    out = np.zeros((len(parts), len(parts)), np.float32)
-    sizes = np.bincount(row, minlength=len(parts))
-    often = np.bincount(ids) > 1  # others are in one set only
-    row, ids = row[often[ids]], (np.cumsum(often) - 1)[ids[often[ids]]]
-    for lo in range(0, np.count_nonzero(often), columns):
-        a, b = np.searchsorted(ids, [lo, lo + columns])
-        m = np.zeros((len(parts), columns), np.float32)
-        m[row[a:b], ids[a:b] - lo] = 1
-        out += m @ m.T
-    np.fill_diagonal(out, sizes)
+def in_common_between(ids: np.ndarray, row: np.ndarray, left: np.ndarray, right: np.ndarray, n: int, columns: int = 4096) -> np.ndarray:
+    """Sizes of the intersections of the rows ``left`` with the rows ``right``, of tokens ``ids`` in order, distinct within a ``row`` of ``n``."""
+    sides = []
+    for some in (left, right):
+        place = np.full(n, -1)
+        place[some] = np.arange(len(some))
+        own = place[row] >= 0
+        sides.append((ids[own], place[row[own]]))
+    most = int(ids.max(initial=-1)) + 1
+    shared = (np.bincount(sides[0][0], minlength=most) > 0) & (np.bincount(sides[1][0], minlength=most) > 0)
+    number = np.cumsum(shared) - 1
+    sides = [(number[i[shared[i]]], r[shared[i]]) for i, r in sides]
+    out = np.zeros((len(left), len(right)), np.float32)
+    for lo in range(0, np.count_nonzero(shared), columns):
+        m = []
+        for (i, r), some in zip(sides, (left, right), strict=True):
+            a, b = np.searchsorted(i, [lo, lo + columns])
+            m.append(np.zeros((len(some), columns), np.float32))
+            m[-1][r[a:b], i[a:b] - lo] = 1
+        out += m[0] @ m[1].T
     return out
 
 
@@ -353,7 +358,7 @@ def _partners(table: pa.Table, least: int, threshold: float, shingle: int) -> pa
                 i_ = i_[~met[i_]]
                 if not len(i_):
                     break
-                both = in_common([own(i) for i in (*i_, *j_)])[: len(i_), len(i_) :]
+                both = in_common_between(once, row, i_, j_, n)
                 likely = (both >= threshold * np.minimum(sizes[i_][:, None], sizes[j_]) - 1e-3) & (pos[lo + i_][:, None] > pos[lo + j_])
                 padded = np.full((len(j_), 2 * least - 1), len(each))
                 for at, j in enumerate(j_):

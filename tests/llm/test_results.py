@@ -152,7 +152,12 @@ def test_compact_windows_equal_definition():
 def test_block_intersections():
     rng = np.random.default_rng(3)
     parts = [rng.integers(0, 60, n).astype(np.uint16) for n in (5, 30, 91, 2)]
-    assert passages.in_common(parts, 7).tolist() == [[len(set(p.tolist()) & set(q.tolist())) for q in parts] for p in parts]
+    sets = [set(p.tolist()) for p in parts]
+    ids, row = np.array(sorted((t, i) for i, p in enumerate(sets) for t in p)).T
+    every = np.arange(4)
+    assert passages.in_common_between(ids, row, every, every, 4, 7).tolist() == [[len(p & q) for q in sets] for p in sets]
+    left, right = np.array([2, 0]), np.array([1, 3, 2])
+    assert passages.in_common_between(ids, row, left, right, 4, 7).tolist() == [[len(sets[i] & sets[j]) for j in right] for i in left]
     hits = np.zeros((3, 60), bool)
     hits[0, 5:45], hits[1, 5:40], hits[2, ::2] = True, True, True
     assert passages.dense_enough(hits, 46, 0.8).tolist() == [True, False, False]
