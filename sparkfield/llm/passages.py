@@ -195,12 +195,15 @@ def _slices(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.Reco
                 cut, data = cut + len(data), []
 
 
-def common_stretches(x: np.ndarray, y: np.ndarray, least: int, threshold: float, shingle: int = 5) -> list[tuple[int, int, int, int]]:
+def common_stretches(x: np.ndarray, y: np.ndarray, least: int, threshold: float, shingle: int = 5, ahead: int | None = None) -> list[tuple[int, int, int, int]]:
     """Stretches (first, last, other first, other last) of tokens whose sets have Jaccard similarity of ``threshold``.
 
     From the first to the last common token; while that is too unlike, it is split at its
     widest gap of tokens not in common. What is shorter than ``least`` may grow to that, by up
     to a shingle's length on each side, as an edited word changes all shingles at an edge.
+    Where both are parts of one text, x beginning ``ahead`` tokens after y, a token is in
+    common only with one at least ``least`` places before it, and a stretch whose partner does
+    not end before it is split too: it holds several repeats.
     """
 
     each, ids = np.unique(np.concatenate([x, y]), return_inverse=True)
@@ -219,10 +222,14 @@ def common_stretches(x: np.ndarray, y: np.ndarray, least: int, threshold: float,
         need = least - (last - first + 1)
         ways = [(g, need - g) for g in range(max(0, need - shingle), min(need, shingle) + 1)] if need > 0 else [(0, 0)]
         ways = [(first - g, last + r, lo - g, hi + r) for g, r in ways if first >= g and last + r < len(x)]
+        ways = [w for w in ways if ahead is None or min(w[3], len(y) - 1) < w[0] + ahead]
         return max(((like(*w), w) for w in ways), default=(0.0, None))
 
     hit = np.flatnonzero(at[xs] >= 0)
     to = at[xs[hit]]
+    if ahead is not None:
+        early = to <= hit + (ahead - least)
+        hit, to = hit[early], to[early]
     out, todo = [], [(0, len(hit))]
     while todo:
         a, b = todo.pop()
@@ -253,11 +260,9 @@ def _verify(batches: Iterator[pa.RecordBatch], least: int, threshold: float, shi
         d, p, dl, pl, x, y = (b.column(i) for i in range(6))
         for i in range(len(b)):
             a, c = (np.frombuffer(s[i].as_buffer(), np.uint32) for s in (x, y))
-            for lo, hi, olo, ohi in common_stretches(a, c, least, threshold, shingle):
-                lo, hi, olo, ohi = lo + dl[i].as_py(), hi + dl[i].as_py(), olo + pl[i].as_py(), ohi + pl[i].as_py()
-                if d[i].as_py() == p[i].as_py() and olo + (ohi - olo) // 2 >= lo:
-                    continue  # a stretch matched with itself
-                for col, v in zip(rows, (d[i].as_py(), p[i].as_py(), lo, hi), strict=True):
+            ahead = dl[i].as_py() - pl[i].as_py() if d[i].as_py() == p[i].as_py() else None
+            for lo, hi, _, _ in common_stretches(a, c, least, threshold, shingle, ahead):
+                for col, v in zip(rows, (d[i].as_py(), p[i].as_py(), lo + dl[i].as_py(), hi + dl[i].as_py()), strict=True):
                     col.append(v)
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], ["d", "p", "lo", "hi"])
 
@@ -332,11 +337,12 @@ def dense_enough(hits: np.ndarray, least: int, threshold: float) -> np.ndarray:
     return (run[:, least:] - np.minimum.accumulate(run[:, : run.shape[1] - least], axis=1) >= -1e-6).any(1)
 
 
-def _partners(table: pa.Table, least: int, threshold: float, shingle: int) -> pa.Table:
+def _partners(table: pa.Table, least: int, threshold: float, shingle: int, bits: int) -> pa.Table:
     """For each asking window of the blocks in ``table`` an earlier window of its key that seems to near-repeat it, if there is one."""
     table = table.sort_by([("k", "ascending"), ("x", "ascending"), ("y", "ascending"), ("pos", "ascending"), ("ask", "ascending")])
     k, x, y, pos, ask = (table.column(c).to_numpy() for c in ("k", "x", "y", "pos", "ask"))
     parts = [np.frombuffer(p.as_buffer(), np.uint32) for p in table.column("part").combine_chunks()]
+    text, begin = pos >> bits, np.maximum(0, (pos & ((1 << bits) - 1)) - least + 1)
     new = np.ones(len(k), bool)
     new[1:] = (k[1:] != k[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])
     ends = np.append(np.flatnonzero(new), len(k))
@@ -369,7 +375,8 @@ def _partners(table: pa.Table, least: int, threshold: float, shingle: int) -> pa
                     some = some[dense_enough(has[padded[some]], least, threshold)]
                     has[own(i)] = False
                     for j in some[np.argsort(-both[at, some], kind="stable")].tolist():
-                        if common_stretches(own(i), own(j_[j]), least, threshold, shingle):
+                        ahead = int(begin[lo + i] - begin[lo + j_[j]]) if text[lo + i] == text[lo + j_[j]] else None
+                        if common_stretches(own(i), own(j_[j]), least, threshold, shingle, ahead):
                             a.append(lo + i)
                             o.append(lo + j_[j])
                             met[i] = True
@@ -444,7 +451,7 @@ def repeats(base: DataFrame, bits: int, words: int = 50, shingle: int = 5, thres
         dealt = dealt.unionByName(around.where("ask").withColumns({"x": block("bx"), "y": every("by")})).drop("bx", "by")
         tasks = counts.agg(F.sum(F.col("bx") * F.col("by") * 2 * BLOCK)).first()[0] or 0
         dealt = dealt.groupBy(F.pmod(F.xxhash64("k", "x", "y"), F.lit(int(tasks) // (8 * TASK) + 8)).alias("_task"))
-        met = dealt.applyInArrow(lambda t: _partners(t, least, threshold, shingle), "k long, pos long, w long, m int, o long, ow long, om int")
+        met = dealt.applyInArrow(lambda t: _partners(t, least, threshold, shingle, bits), "k long, pos long, w long, m int, o long, ow long, om int")
         found.append(verified(met))
     out = found[0]
     for new in found[1:]:

@@ -218,6 +218,39 @@ def test_periodic_passages_keep_their_beginning(make):
     assert got[1].n_words - got[1].n_removed in range(40, 120) and 404 - got[2].n_removed in range(40, 120) and got[3].n_removed == 0
 
 
+def runs_of(sizes, seed):
+    """Runs of one word each, all different."""
+    return " ".join(" ".join([f"{prose(seed + i, 1)}{i}x"] * n) for i, n in enumerate(sizes))
+
+
+def test_a_text_of_several_runs_loses_each_ones_repeats(make, spark):
+    rows = [(1, runs_of([121] * 8, 40)), (2, runs_of([67] * 8, 60)), (3, prose(50, 80) + " " + runs_of([200], 80) + " " + prose(51, 80) + " " + runs_of([121], 81))]
+    got = {r.doc_id: r for r in passages.passage_report(make(rows)).collect()}
+    assert got[1].n_passages == 8 and 8 * 70 <= got[1].n_removed <= 8 * 75
+    assert got[2].n_removed == 0  # a run of 67 words is no passage and an earlier one
+    assert got[3].n_passages == 2 and 220 <= got[3].n_removed <= 230
+    one = spark.read.parquet(f"{SF}/documents.parquet").where("doc_id = 133")  # begins with eight runs of 121 equal words
+    assert passages.passage_report(one).first().n_passages == 8
+    left = passages.remove_passages(one.unionByName(make([(i + 1000, t) for i, t in rows])))
+    assert not passages.passage_report(left).where("n_removed > 0").count()
+
+
+def test_repeats_within_one_long_text(make):
+    """Brute force: of every run of 50 words that also stands earlier in the text, without overlap, the words are found."""
+    r, parts, pool = random.Random(5), [], [prose(9100 + i, 60 + 10 * i) for i in range(8)]
+    for k in range(60):
+        parts.append(prose(9200 + k, r.randint(5, 120)))
+        parts.append(pool[r.randrange(8)])
+    w = " ".join(parts).split(" ")
+    first, repeated = {}, set()
+    for k in range(len(w) - 49):
+        g = tuple(w[k : k + 50])
+        if first.setdefault(g, k) + 50 <= k:
+            repeated.update(range(k, k + 50))
+    got = passages.passage_report(make([(1, " ".join(w)), (2, prose(9999, 300))])).where("doc_id = 1").first()
+    assert len(repeated) <= got.n_removed <= 1.1 * len(repeated)
+
+
 def test_passages_find_every_exact_repeat(family, texts, make):
     _, rows = family
     rows = {**{i: t for i, t in rows.items() if i >= 100}, **{1000 + i: t for i, t in texts.items() if i < 120}}
