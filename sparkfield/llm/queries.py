@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, embedding_graph, html_text, ngram_join, packing, passages, quality, sharding, substring_exact, url_filter
+from . import decontaminate, embedding_graph, fim, html_text, ngram_join, packing, passages, periodic, personal, quality, sharding, substring_exact, url_filter
 from .common import table
 
 QUERIES: dict = {}
@@ -77,3 +77,28 @@ def op6_html_text(spark, sf_dir):
 @query
 def op8_embedding_graph(spark, sf_dir):
     return embedding_graph.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op11_periodic_runs(spark, sf_dir):
+    return periodic.run_report(periodic.with_planted_runs(table(spark, sf_dir, "documents")))
+
+
+@query
+def op12_personal_data(spark, sf_dir):
+    return personal.report(table(spark, sf_dir, "documents"))
+
+
+@query
+def op13_fill_in_middle(spark, sf_dir):
+    return fim.digests(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op13_fill_in_middle"] = r"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS t, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+u AS (SELECT doc_id, t, CAST(len(t) AS BIGINT) AS n, CAST('0x' || h[1:8] AS BIGINT) AS h1, CAST('0x' || h[9:16] AS BIGINT) AS h2, CAST('0x' || h[17:24] AS BIGINT) AS h3, CAST('0x' || h[25:32] AS BIGINT) AS h4 FROM t),
+f AS (SELECT doc_id, t, n, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 90 THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM u),
+o AS (SELECT *, substr(t, 1, a) AS p, substr(t, a + 1, b - a) AS m, substr(t, b + 1) AS s FROM f)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(t) AS restored_sha256 FROM o"""
