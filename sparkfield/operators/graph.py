@@ -10,7 +10,7 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from sparkfield.functions.expr import Expr, variables
-from sparkfield.plans.durable import durable
+from sparkfield.plans.durable import durable, saved
 
 
 def from_definitions(spark: SparkSession, definitions: Mapping[str, Expr]) -> tuple[DataFrame, DataFrame]:
@@ -44,25 +44,59 @@ def dependents(edges: DataFrame, name: str) -> DataFrame:
     return closure(back, start).select(F.col("dep").alias("var"))
 
 
-def _peel(nodes: DataFrame, edges: DataFrame, leaf: str, other: str) -> tuple[DataFrame, int]:
-    """Levels (var, level) of nodes taken off when no remaining edge has them as ``leaf``; and how many are left."""
-    own = nodes.select("var")
-    inner = edges.select("var", "dep").distinct().join(own, "var", "left_semi").join(own.withColumnRenamed("var", "dep"), "dep", "left_semi")
-    rest, inner, level = durable(own), durable(inner), 0
+def _rounds(n: int) -> int:
+    """Doublings that reach every node of a path of ``n``."""
+    return max(1, n).bit_length()
+
+
+def _levels(nodes: DataFrame, edges: DataFrame, leaf: str, other: str) -> DataFrame:
+    """(var, level): 0 for nodes that no edge has as ``leaf``, else one more than the highest of their ``other`` ends; none on or behind a cycle.
+
+    A node with one open predecessor is at max(c, level of that one + d), and such functions
+    compose to one of their kind: by pointer doubling every tree and chain is settled in a
+    number of joins that grows with the logarithm of its depth. What remains are nodes with
+    several open predecessors; their settled ones become constants, and the round repeats.
+    """
+    own = nodes.select("var").distinct()
+    inner = edges.select(F.col(leaf).alias("var"), F.col(other).alias("p")).distinct().join(own, "var", "left_semi").join(own.withColumnRenamed("var", "p"), "p", "left_semi")
+    # of each node: c, the least level that settled predecessors allow, and its edges to open ones
+    base = saved(own.withColumn("c", F.lit(0)))
+    inner = saved(inner.select("var", "p", F.lit(1).alias("d")))
     done = None
     while True:
-        blocked = inner.select(F.col(leaf).alias("var")).distinct()
-        free = durable(rest.join(blocked, "var", "left_anti"))
-        if free.isEmpty():
+        one = inner.groupBy("var").agg(F.count(F.lit(1)).alias("n"), F.min("p").alias("p"), F.min("d").alias("d"))
+        state = saved(base.join(one, "var", "left").select("var", "c", F.coalesce("n", F.lit(0)).alias("n"), "p", "d"))
+        counts = state.groupBy().agg(F.count_if(F.col("n") == 0).alias("settled"), F.count_if(F.col("n") == 1).alias("single"), F.count_if(F.col("n") > 1).alias("joins")).first()
+        if not counts.settled:
             break
-        layer = free.withColumn("level", F.lit(level))
-        done = layer if done is None else durable(done.unionByName(layer))
-        rest = durable(rest.join(free, "var", "left_anti"))
-        inner = durable(inner.join(free.withColumnRenamed("var", other), other, "left_anti"))
-        level += 1
-    if done is None:
-        done = nodes.select("var", F.lit(0).alias("level")).where("false")
-    return done, rest.count()
+        jump = state.where("n < 2").select("var", "c", "p", "d")
+        if counts.single:
+            jump = saved(jump)
+        for k in range(_rounds(counts.single) if counts.single else 0):
+            # a node settled or with several open predecessors ends the jumps
+            up = jump.select(F.col("var").alias("p"), F.col("c").alias("_c"), F.col("p").alias("_p"), F.col("d").alias("_d"))
+            met = jump.join(up, "p", "left")
+            on = F.col("_c").isNotNull()
+            c = F.when(on, F.greatest("c", F.col("_c") + F.col("d"))).otherwise(F.col("c"))
+            ahead = F.when(on, F.col("_p")).otherwise(F.col("p"))
+            d = F.when(on, F.col("d") + F.col("_d")).otherwise(F.col("d"))
+            jump = saved(met.select("var", c.alias("c"), ahead.alias("p"), F.when(ahead.isNotNull(), d).alias("d"), (on & F.col("_p").isNotNull()).alias("open")), jump)
+            if jump.where("open").isEmpty():
+                break
+        settled = jump.where("p is null").select("var", F.col("c").alias("level"))
+        done = settled if done is None else done.unionByName(settled)
+        done = saved(done)
+        if not counts.joins:
+            break
+        # the rest: nodes with several predecessors, whose edges now begin where the jumps ended
+        rest = state.where("n > 1").select("var", "c")
+        reach = jump.select(F.col("var").alias("p"), F.col("c").alias("_c"), F.col("p").alias("_p"), F.col("d").alias("_d"))
+        moved = saved(inner.join(rest.select("var"), "var", "left_semi").join(reach, "p", "left"))
+        fixed = moved.where("_c is not null").groupBy("var").agg(F.max(F.col("_c") + F.col("d")).alias("_best"))
+        base = saved(rest.join(fixed, "var", "left").select("var", F.greatest("c", F.coalesce("_best", "c")).alias("c")))
+        open_ = moved.where("_c is null or _p is not null").select("var", F.when(F.col("_c").isNull(), F.col("p")).otherwise(F.col("_p")).alias("p"), (F.col("d") + F.coalesce("_d", F.lit(0))).alias("d"))
+        inner = saved(open_.groupBy("var", "p").agg(F.max("d").alias("d")))
+    return done if done is not None else nodes.select("var", F.lit(0).alias("level")).where("false")
 
 
 def topological_levels(nodes: DataFrame, edges: DataFrame, order: str = "dependents_first") -> tuple[DataFrame, bool]:
@@ -71,13 +105,10 @@ def topological_levels(nodes: DataFrame, edges: DataFrame, order: str = "depende
     ``dependents_first`` puts a variable before what it depends on, ``evaluation`` after.
     Within a level, order by the nodes' ord.
     """
-    if order == "dependents_first":
-        levels, left = _peel(nodes, edges, "dep", "var")
-    elif order == "evaluation":
-        levels, left = _peel(nodes, edges, "var", "dep")
-    else:
+    if order not in ("dependents_first", "evaluation"):
         raise ValueError(f"unknown order {order!r}")
-    return levels, left == 0
+    levels = _levels(nodes, edges, *(("dep", "var") if order == "dependents_first" else ("var", "dep")))
+    return levels, levels.count() == nodes.select("var").distinct().count()
 
 
 def detect_cycles(nodes: DataFrame, edges: DataFrame) -> str:
@@ -89,61 +120,134 @@ def detect_cycles(nodes: DataFrame, edges: DataFrame) -> str:
 
 def depth(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(var, depth): 0 without dependencies or a definition, else one more than the deepest; null on or above a cycle."""
-    levels, _ = _peel(nodes, edges, "var", "dep")
-    own = edges.select("var", "dep").distinct()
-    outside = own.join(nodes.select(F.col("var").alias("dep")), "dep", "left_anti").select("var").distinct().withColumn("_undefined", F.lit(True))
-    out = nodes.select("var").join(levels, "var", "left").join(outside, "var", "left")
-    # an undefined dependency is itself at depth 0, so its dependents are at 1 at least
-    shifted = F.when(F.col("_undefined") & (F.col("level") == 0), F.lit(1)).otherwise(F.col("level"))
-    base = out.select("var", shifted.alias("depth"))
-    if outside.isEmpty():
-        return base
-    return _raise_depths(base, own)
-
-
-def _raise_depths(depths: DataFrame, edges: DataFrame) -> DataFrame:
-    depths = durable(depths)
+    every = nodes.select("var").unionByName(edges.select(F.col("dep").alias("var"))).distinct()
+    levels = _levels(every, edges, "var", "dep").withColumnRenamed("level", "depth")
+    return nodes.select("var").join(levels, "var", "left")
+
+
+def _pointer_cycles(after: DataFrame) -> DataFrame:
+    """(cycle, pos, v, length) of the cycles of ``after(v, next)``, in which every next is some v: cycle is its least v, at pos 0.
+
+    By doubling: jumps of 2^k steps end on cycles, and take the least node that they pass
+    along; then the steps up to that node are counted in the same way.
+    """
+    jump = saved(after.select("v", F.col("next").alias("to"), F.least("v", "next").alias("least")))
+    rounds = _rounds(jump.count())
+    for _ in range(rounds):
+        far = jump.select(F.col("v").alias("to"), F.col("to").alias("_to"), F.col("least").alias("_least"))
+        jump = saved(jump.join(far, "to").select("v", F.col("_to").alias("to"), F.least("least", "_least").alias("least")), jump)
+    on = saved(jump.join(jump.select(F.col("to").alias("v")).distinct(), "v", "left_semi").select("v", F.col("least").alias("cycle")))
+    # steps to the least node, which is where they end
+    steps = after.join(on, "v").select("v", "cycle", F.when(F.col("v") == F.col("cycle"), F.col("v")).otherwise(F.col("next")).alias("to"), F.when(F.col("v") == F.col("cycle"), 0).otherwise(1).cast("long").alias("n"))
+    steps = saved(steps)
+    for _ in range(rounds):
+        far = steps.select(F.col("v").alias("to"), F.col("to").alias("_to"), F.col("n").alias("_n"))
+        steps = saved(steps.join(far, "to").select("v", "cycle", F.col("_to").alias("to"), (F.col("n") + F.col("_n")).alias("n")), steps)
+    sizes = steps.groupBy("cycle").agg(F.count(F.lit(1)).alias("length"))
+    return steps.join(sizes, "cycle").select("cycle", F.pmod(F.col("length") - F.col("n"), F.col("length")).alias("pos"), "v", "length")
+
+
+def _numbered(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Nodes (var, ord) and the edges between them as (s, t) by ord."""
+    ids = nodes.select("var", F.col("ord").cast("long").alias("ord"))
+    number = lambda c: ids.select(F.col("var").alias(c), F.col("ord").alias(f"_{c}"))
+    return ids, saved(edges.select("var", "dep").distinct().join(number("var"), "var").join(number("dep"), "dep").select(F.col("_var").alias("s"), F.col("_dep").alias("t")))
+
+
+def cycles(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(cycle, pos, var, length): cycles of the graph, each a path of ``length`` nodes from pos 0 on, and back.
+
+    Nodes that are on no cycle and above none are peeled off; each other one has a dependency
+    of its kind, and follows the one with the least ord (itself, if it depends on itself).
+    Where these pointers run in a ring is a cycle, named by its least ord. A cyclic graph has
+    one at least; not every cycle is named, as there can be exponentially many.
+    """
+    levels = _levels(nodes, edges, "var", "dep")
+    rest = saved(nodes.join(levels, "var", "left_anti"))
+    ids, graph = _numbered(rest, edges)
+    after = graph.groupBy(F.col("s").alias("v")).agg(F.min(F.when(F.col("s") == F.col("t"), -1).otherwise(F.col("t"))).alias("next"))
+    after = saved(after.select("v", F.when(F.col("next") < 0, F.col("v")).otherwise(F.col("next")).alias("next")))
+    return _pointer_cycles(after).join(ids, F.col("v") == F.col("ord")).select("cycle", "pos", "var", "length")
+
+
+def cycle_path(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """One row (path, length) for the cycle with the least ord; none for an acyclic graph."""
+    found = cycles(nodes, edges)
+    first = found.where(F.col("pos") == 0).orderBy("cycle").limit(1).select("cycle")
+    return found.join(first, "cycle").groupBy("cycle", "length").agg(F.array_sort(F.collect_list(F.struct("pos", "var"))).alias("p")).select(F.col("p.var").alias("path"), "length")
+
+
+def _by_colour(rest: DataFrame, inner: DataFrame) -> DataFrame:
+    """(ord, c): the components of the nodes whose colour comes from themselves.
+
+    Colours: the least ord that reaches a node spreads along the edges; what reaches the
+    colour's own node back within the colour is its component.
+    """
+    colour = saved(rest.select("ord", F.col("ord").alias("c")))
     while True:
-        best = edges.join(depths.select(F.col("var").alias("dep"), F.col("depth").alias("_d")), "dep").groupBy("var").agg((F.max("_d") + 1).alias("_best"))
-        higher = durable(depths.join(best, "var", "left").select("var", F.when(F.col("depth").isNotNull(), F.greatest("depth", F.coalesce("_best", "depth"))).alias("depth")))
-        same = depths.agg(F.sum("depth")).first()[0] == higher.agg(F.sum("depth")).first()[0]
-        depths = higher
-        if same:
-            return depths
+        into = inner.join(colour.withColumnRenamed("ord", "s"), "s").groupBy(F.col("t").alias("ord")).agg(F.min("c").alias("_c"))
+        new = saved(colour.join(into, "ord", "left").select("ord", F.least("c", F.coalesce("_c", "c")).alias("c"), (F.coalesce("_c", "c") < F.col("c")).alias("moved")))
+        moved = not new.where("moved").isEmpty()
+        colour = new.drop("moved")
+        if not moved:
+            break
+    own = inner.join(colour.withColumnsRenamed({"ord": "s", "c": "cs"}), "s").join(colour.withColumnsRenamed({"ord": "t", "c": "ct"}), "t").where("cs = ct").select("s", "t")
+    own = saved(own)
+    back = new = saved(colour.where("ord = c"))
+    while not new.isEmpty():
+        new = saved(own.join(new.withColumnRenamed("ord", "t"), "t").select(F.col("s").alias("ord"), "c").distinct().join(back.select("ord"), "ord", "left_anti"))
+        back = saved(back.unionByName(new))
+    return back
 
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Strongly connected components (var, scc) with scc the least ord in each.
 
-    Colours: the least ord that reaches a node spreads along the edges; what reaches the
-    colour's own node back within the colour is its component, and the rest goes on.
+    In each round, nodes that are on no cycle are trimmed from both ends; of the others each
+    points to one of its dependencies, by a hash of the round, and every ring of pointers is
+    contracted to one node. Both take joins in number of the logarithm of the length, so long
+    rings cost little. Where that takes off less than an eighth (a hub has one ring at a
+    time), components are found by colours, whose rounds grow with the diameter only.
     """
-    ids = nodes.select("var", F.col("ord").cast("long").alias("ord"))
-    number = lambda c: ids.select(F.col("var").alias(c), F.col("ord").alias(f"_{c}"))
-    graph = durable(edges.select("var", "dep").distinct().join(number("var"), "var").join(number("dep"), "dep").select(F.col("_var").alias("s"), F.col("_dep").alias("t")).where("s <> t"))
-    rest = durable(ids.select("ord"))
-    found = None
-    while not rest.isEmpty():
-        inner = durable(graph.join(rest.withColumnRenamed("ord", "s"), "s", "left_semi").join(rest.withColumnRenamed("ord", "t"), "t", "left_semi"))
-        colour = durable(rest.select("ord", F.col("ord").alias("c")))
-        while True:
-            into = inner.join(colour.withColumnRenamed("ord", "s"), "s").groupBy(F.col("t").alias("ord")).agg(F.min("c").alias("_c"))
-            new = durable(colour.join(into, "ord", "left").select("ord", F.least("c", F.coalesce("_c", "c")).alias("c"), (F.coalesce("_c", "c") < F.col("c")).alias("moved")))
-            moved = not new.where("moved").isEmpty()
-            colour = new.drop("moved")
-            if not moved:
-                break
-        own = inner.join(colour.withColumnsRenamed({"ord": "s", "c": "cs"}), "s").join(colour.withColumnsRenamed({"ord": "t", "c": "ct"}), "t").where("cs = ct").select("s", "t")
-        own = durable(own)
-        back = new = durable(colour.where("ord = c"))
-        while not new.isEmpty():
-            new = durable(own.join(new.withColumnRenamed("ord", "t"), "t").select(F.col("s").alias("ord"), "c").distinct().join(back.select("ord"), "ord", "left_anti"))
-            back = durable(back.unionByName(new))
-        found = back if found is None else durable(found.unionByName(back))
-        rest = durable(rest.join(back.select("ord"), "ord", "left_anti"))
-    if found is None:
-        return nodes.select("var", F.col("ord").alias("scc")).where("false")
-    return found.join(ids, "ord").select("var", F.col("c").alias("scc"))
+    ids, graph = _numbered(nodes, edges)
+    member = saved(ids.select("ord", F.col("ord").alias("rep")))
+    graph = saved(graph.where("s <> t"))
+    rest, found, turn = saved(ids.select("ord")), None, 0
+
+    def settle(new: DataFrame) -> None:
+        nonlocal found
+        found = saved(new if found is None else found.unionByName(new))
+
+    def within(graph: DataFrame, rest: DataFrame) -> DataFrame:
+        return graph.join(rest.withColumnRenamed("ord", "s"), "s", "left_semi").join(rest.withColumnRenamed("ord", "t"), "t", "left_semi")
+
+    while True:
+        for a, b in (("s", "t"), ("t", "s")):
+            trimmed = saved(_levels(rest.withColumnRenamed("ord", "var"), graph, a, b).select(F.col("var").alias("ord")))
+            settle(trimmed.select("ord", F.col("ord").alias("c")))
+            rest = saved(rest.join(trimmed, "ord", "left_anti"))
+            graph = saved(within(graph, rest))
+        size = rest.count()
+        if not size:
+            break
+        turn += 1
+        pick = F.min_by("t", F.xxhash64("t", "s", F.lit(turn)))
+        rings = saved(_pointer_cycles(saved(graph.groupBy(F.col("s").alias("v")).agg(pick.alias("next")))).select("v", "cycle"))
+        name = lambda c: F.coalesce("cycle", c)
+        member = saved(member.join(rings, F.col("rep") == F.col("v"), "left").select("ord", name("rep").alias("rep")))
+        for c in ("s", "t"):
+            graph = graph.join(rings, F.col(c) == F.col("v"), "left").withColumn(c, name(c)).drop("v", "cycle")
+        graph = saved(graph.where("s <> t").distinct())
+        rest = saved(rest.join(rings, F.col("ord") == F.col("v"), "left").select(name("ord").alias("ord")).distinct())
+        if 8 * rest.count() > 7 * size:
+            some = _by_colour(rest, graph)
+            settle(some.select("ord", "c"))
+            rest = saved(rest.join(some.select("ord"), "ord", "left_anti"))
+            graph = saved(within(graph, rest))
+    # a contracted node stands for its members; their least ord names the component
+    whole = member.join(found.withColumnsRenamed({"ord": "_n"}), F.col("rep") == F.col("_n")).select("ord", "c")
+    least = whole.groupBy("c").agg(F.min("ord").alias("scc"))
+    return whole.join(least, "c").join(ids, "ord").select("var", "scc")
 
 
 def structure(nodes: DataFrame, edges: DataFrame) -> DataFrame:

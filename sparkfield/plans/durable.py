@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,3 +27,26 @@ def durable(df: DataFrame) -> DataFrame:
     """A checkpoint in ``folder``."""
     folder(df.sparkSession)
     return df.checkpoint()
+
+
+def saved(df: DataFrame, instead: DataFrame | None = None) -> DataFrame:
+    """``df`` as Parquet in ``folder``, for loops of many rounds; the table that it replaces is deleted.
+
+    A checkpoint hands on what the optimiser estimated: sizes of joins are products, so their
+    digits double with each round, and planning soon takes longer than the work. A table read
+    again is as large as its files.
+    """
+    path = f"{folder(df.sparkSession)}/saved-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._saved_at = path
+    if instead is not None:
+        discard(instead)
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete a saved table that nothing will read any more."""
+    sc = df.sparkSession.sparkContext
+    path = sc._jvm.org.apache.hadoop.fs.Path(df._saved_at)
+    path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)

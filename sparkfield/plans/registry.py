@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from . import queries_tables  # noqa: F401  registers its queries
 from .queries import FLAGSHIP, ORACLES, QUERIES
 
 __all__ = ["FLAGSHIP", "ORACLES", "QUERIES"]
