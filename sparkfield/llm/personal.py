@@ -3,8 +3,8 @@
 Seeds are what fixed forms of emails, IP addresses, card and phone numbers find. The words
 around a seed are its lexical patterns: the two words before it, and the word before with the
 word behind. Spark counts what else stands in the same contexts all over the corpus and
-scores the graph of patterns and their fillers in rounds: a pattern is as good as its fillers
-are on average, an unseen filler of an identifier's shape as good as its patterns together.
+scores the graph of patterns and their fillers in rounds: a pattern is as good as what stands
+at its places is on average, an unseen filler of an identifier's shape as good as its patterns together.
 Patterns that end well mark the identifiers they introduce whose form no rule knows.
 """
 
@@ -38,7 +38,7 @@ WIDE = {
     2: re.compile(r"(?<![\w+])[0-9](?:[\x20.-]?[0-9]){11,18}(?!\w)", re.A),
     3: re.compile(r"(?<![\w+])\(?[0-9](?:[\x20()./-]{0,2}[0-9]){6,14}(?!\w)", re.A),
 }
-#: Different seeds that a pattern needs, the share of known fillers that makes it worth scoring, the score that makes it good, and rounds of scoring.
+#: Different seeds that a pattern needs, the share of its places with seeds that makes it worth scoring, the score that makes it good, and rounds of scoring.
 SEEDS, WORTH, GOOD, ROUNDS = 3, 0.5, 0.8, 3
 #: Bits of the bitmaps of patterns that go to all tasks, whatever the size of the data; a full one only lets more rows through to the exact join.
 BITS = 1 << 22
@@ -119,9 +119,11 @@ class Places:
         text = np.repeat(np.arange(len(g.at) - 1), np.diff(g.at))
         first, end = g.at[:-1][text], g.at[1:][text]
         h = np.concatenate([g.hash, np.zeros(2, U64)])
-        one = np.where(self.nth - 1 >= first, h[self.nth - 1], U64(1))
-        two = np.where(self.nth - 2 >= first, h[self.nth - 2], U64(2))
-        self.before = mix(mix(two + U64(11)) + one)
+        back = [np.where(self.nth - k >= first, h[self.nth - k], U64(k)) for k in range(1, 5)]
+        one = back[0]
+        self.before = mix(mix(back[1] + U64(11)) + one)
+        #: The words around a place, wider than its patterns: places of copies of a text count as one.
+        self.around = mix(self.before + mix(mix(back[3] + U64(13)) + back[2] + h[self.nth + 1]))
         self.one, self.behind = mix(one + U64(12)), np.where(self.nth + 1 < end, h[self.nth + 1], U64(3))
         data, offsets = raw(texts)
         run = np.concatenate([[0], np.cumsum(_HINT[data])])
@@ -149,15 +151,35 @@ def _chunks(b: pa.RecordBatch, column: int) -> Iterator[tuple[int, int, pa.Array
 
 @tidy
 def _seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(kind, pattern, filler, held, places): seeds and their patterns; of the different places of the chunk with the pattern, ``held`` hold a seed.
+
+    The counts stand in one row of each kind and pattern of a chunk.
+    """
     for b in batches:
         for _, _, texts in _chunks(b, 0):
-            places, rows = Places(texts), set()
+            places, seeds = Places(texts), []
             for i in places.hinted:
                 text = texts[i].as_py()
                 if spans := base_spans(text):
-                    for p in places.patterns(*places.words(i, spans)):
-                        rows |= {(k, h, instance(text[a:e])) for (k, a, e), h in zip(spans, p.view(np.int64).tolist(), strict=True)}
-            yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], t) for j, t in enumerate((pa.int32(), pa.int64(), pa.int64()))], ["kind", "pattern", "filler"])
+                    seeds += zip((k for k, _, _ in spans), (instance(text[a:e]) for _, a, e in spans), *(w.tolist() for w in places.words(i, spans)), strict=True)
+            rows = []
+            first, last = (np.array([x[j] for x in seeds], np.int64) for j in (2, 3))
+            for p, every in zip(places.patterns(first, last), places.patterns(places.nth, places.nth), strict=True):
+                here = np.isin(every, p)
+                total = np.unique(np.stack([np.append(every[here], p), np.append(places.around[here], places.around[first])]), axis=1)[0]
+                pattern, n = np.unique(total, return_counts=True)
+                n = dict(zip(pattern.tolist(), n.tolist(), strict=True))
+                held: dict[tuple[int, int], tuple[set, set]] = {}
+                for (kind, filler, _, _), h, at in zip(seeds, p.tolist(), places.around[first].tolist(), strict=True):
+                    own = held.setdefault((kind, h), (set(), set()))
+                    own[0].add(filler)
+                    own[1].add(at)
+                for (kind, h), (fillers, at) in held.items():
+                    rows += [(kind, h, f, 0 if j else len(at), 0 if j else n[h]) for j, f in enumerate(fillers)]
+            kinds = (pa.int32(), pa.uint64(), pa.int64(), pa.int64(), pa.int64())
+            columns = [pa.array([r[j] for r in rows], t) for j, t in enumerate(kinds)]
+            columns[1] = columns[1].view(pa.int64())
+            yield pa.RecordBatch.from_arrays(columns, ["kind", "pattern", "filler", "held", "places"])
 
 
 def _in(bitmap: np.ndarray, pattern: np.ndarray) -> np.ndarray:
@@ -177,7 +199,7 @@ def _bitmap(patterns: DataFrame) -> np.ndarray:
 
 @tidy
 def _fillers(batches: Iterator[pa.RecordBatch], bitmap: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """(pattern, filler, shapes): what stands in the contexts; ``shapes`` has a bit for each kind it looks like."""
+    """(pattern, filler, shapes, place): what stands in the contexts; ``shapes`` has a bit for each kind it looks like."""
     for b in batches:
         for _, _, texts in _chunks(b, 0):
             places = Places(texts)
@@ -189,31 +211,31 @@ def _fillers(batches: Iterator[pa.RecordBatch], bitmap: np.ndarray) -> Iterator[
                 for (k, a, e), x, y in zip(spans, *(w.tolist() for w in places.words(i, spans)), strict=True):
                     last[x], filler[x] = y, instance(text[a:e])
                     shapes[x] |= 1 << k
-            rows = [np.zeros((0, 3), np.int64)]
+            rows = [np.zeros((0, 4), np.int64)]
             for p in places.patterns(places.nth, last):
                 hit = np.flatnonzero(_in(bitmap, p))
-                rows.append(np.stack([p[hit].view(np.int64), filler[hit], shapes[hit]], 1))
+                rows.append(np.stack([p[hit].view(np.int64), filler[hit], shapes[hit], places.around[hit].view(np.int64)], 1))
             rows = np.unique(np.concatenate(rows), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(rows[:, 0]), pa.array(rows[:, 1]), pa.array(rows[:, 2], pa.int32())], ["pattern", "filler", "shapes"])
+            yield pa.RecordBatch.from_arrays([pa.array(rows[:, 0]), pa.array(rows[:, 1]), pa.array(rows[:, 2], pa.int32()), pa.array(rows[:, 3])], ["pattern", "filler", "shapes", "place"])
 
 
 def learn(docs: DataFrame, seeds: int = SEEDS, worth: float = WORTH, good: float = GOOD, rounds: int = ROUNDS) -> DataFrame:
     """Good patterns (kind, pattern, confidence) of all texts of ``docs(text)``.
 
-    Every occurrence in the corpus counts, once for each different filler, so that copies of a
-    text weigh as one. A filler that is no seed and has not the shape of the kind scores 0.
+    Every place in the corpus where a pattern stands counts, but places with the same words
+    around as one, so that copies of a text do. A filler that is no seed and has not the shape
+    of the kind scores 0. A pattern of which already the places beside seeds speak against is
+    not looked up elsewhere.
     """
     texts = docs.select(docs["text"].cast("string").alias("text")).where("text is not null")
-    known = durable(texts.mapInArrow(_seeds, "kind int, pattern long, filler long").distinct())
-    support = durable(known.groupBy("kind", "pattern").agg(F.count(F.lit(1)).alias("seeds")).where(F.col("seeds") >= seeds))
+    known = durable(texts.mapInArrow(_seeds, "kind int, pattern long, filler long, held long, places long"))
+    support = known.groupBy("kind", "pattern").agg(F.count_distinct("filler").alias("seeds"), F.sum("held").alias("held"), F.sum("places").alias("places"))
+    support = durable(support.where((F.col("seeds") >= seeds) & (F.col("held") >= worth * F.col("places"))).select("kind", "pattern"))
     held = docs.sparkSession.sparkContext.broadcast(_bitmap(support))
-    met = texts.mapInArrow(lambda it: _fillers(it, held.value), "pattern long, filler long, shapes int")
-    met = durable(met.join(support.select("pattern").distinct(), "pattern").groupBy("pattern", "filler").agg(F.bit_or("shapes").alias("shapes")))
-    sizes = met.groupBy("pattern").agg(F.count(F.lit(1)).alias("n"))
-    # a pattern that many other words follow cannot become good, and is not scored
-    open_ = durable(support.join(sizes, "pattern").where(F.col("seeds") >= worth * F.col("n")).select("kind", "pattern", "n"))
+    met = texts.mapInArrow(lambda it: _fillers(it, held.value), "pattern long, filler long, shapes int, place long")
+    met = met.join(support.select("pattern").distinct(), "pattern").groupBy("pattern", "filler").agg(F.bit_or("shapes").alias("shapes"), F.count_distinct("place").alias("n"))
     seen = known.select("kind", "filler", F.lit(True).alias("seed")).distinct()  # a seed anywhere is a seed everywhere
-    edges = open_.join(met, "pattern").join(seen, ["kind", "filler"], "left")
+    edges = support.join(met, "pattern").join(seen, ["kind", "filler"], "left")
     edges = durable(edges.select("kind", "pattern", "n", "filler", F.coalesce("seed", F.lit(False)).alias("seed"), F.expr("(shiftright(shapes, kind) & 1) = 1").alias("like")))
     score = F.when(F.col("seed"), 1.0).otherwise(0.0)
     for n in range(rounds):
@@ -224,7 +246,7 @@ def learn(docs: DataFrame, seeds: int = SEEDS, worth: float = WORTH, good: float
             score = F.when(F.col("seed"), 1.0).when(F.col("like"), 1 - F.col("doubt")).otherwise(0.0)
         else:
             scored = edges
-        confidence = durable(scored.groupBy("kind", "pattern").agg((F.sum(score) / F.max("n")).alias("confidence")))
+        confidence = durable(scored.groupBy("kind", "pattern").agg((F.sum(score * F.col("n")) / F.sum("n")).alias("confidence")))
     return confidence.where(F.col("confidence") >= good)
 
 
