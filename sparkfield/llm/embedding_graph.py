@@ -183,6 +183,13 @@ def valid(e):
     return F.coalesce(fine & F.exists(e, lambda v: v != 0), F.lit(False))
 
 
+def scaled(e):
+    """The vector times a power of two that keeps its squares and products within a double's range; no cosine changes."""
+    top = F.array_max(F.transform(e, F.abs))
+    factor = F.when(top < 1e-100, 2.0**600).when(top > 1e100, 2.0**-600).otherwise(1.0)
+    return F.transform(e, lambda v: v * factor)
+
+
 def _block_pairs(block, m: int):
     """Numbers of the tasks in which a block meets each other one."""
     return F.transform(F.filter(F.sequence(F.lit(0), F.lit(m - 1)), lambda o: o != block), lambda o: F.least(o, block) * m + F.greatest(o, block))
@@ -215,13 +222,15 @@ def near_duplicates(vectors: DataFrame, least: float = 0.95) -> DataFrame:
     """Every row of ``vectors(vec_id, embedding)`` with its links by cosine of ``least`` or more.
 
     Equal vectors are searched for once and link with each other. Null or zero vectors, and
-    those with null or non-finite components, link with nothing; vectors of different lengths
-    do not link with each other. Repeated ids count as vectors of their own; null
+    those with null or non-finite components, link with nothing; vectors of any other size,
+    near the ends of a double's range too, link by their direction; vectors of different
+    lengths do not link with each other. Repeated ids count as vectors of their own; null
     ids stay null and give no component id unless there is no other; an empty table gives no
     rows.
     """
     base = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("e"))
-    base = base.withColumn("h", F.when(valid(F.col("e")), F.xxhash64("e")))
+    base = base.select("vec_id", F.when(valid(F.col("e")), scaled(F.col("e"))).alias("e"))
+    base = base.withColumn("h", F.when(F.col("e").isNotNull(), F.xxhash64("e")))
     groups = base.where("h is not null").groupBy("h").agg(F.min("vec_id").alias("least"), F.count(F.lit(1)).alias("copies"), F.any_value("e").alias("e"))
     groups = durable(groups)
     lengths = [r.d for r in groups.groupBy(F.size("e").alias("d")).count().where("count > 1").orderBy("d").collect()]
@@ -240,7 +249,7 @@ def near_duplicates(vectors: DataFrame, least: float = 0.95) -> DataFrame:
 
 def recall(vectors: DataFrame, found: DataFrame, least: float = 0.95, every: int = 100) -> float:
     """Share of true link ends that ``found(vec_id, n_links)`` has, for ids divisible by ``every`` against all rows, in blocks."""
-    queries = vectors.where((F.col("vec_id") % every == 0) & valid(F.col("embedding"))).select("vec_id", F.col("embedding").cast("array<double>").alias("e"))
+    queries = vectors.where((F.col("vec_id") % every == 0) & valid(F.col("embedding"))).select("vec_id", scaled(F.col("embedding").cast("array<double>")).alias("e"))
     rows = queries.collect()  # the audit's query set
     ids, q = [r.vec_id for r in rows], unit(np.array([r.e for r in rows], float))
 
@@ -251,7 +260,7 @@ def recall(vectors: DataFrame, found: DataFrame, least: float = 0.95, every: int
             total += (q @ x.T >= least).sum(1)
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(total)], ["vec_id", "n"])
 
-    true = vectors.where(valid(F.col("embedding"))).select(F.col("embedding").cast("array<double>").alias("e")).mapInArrow(count, "vec_id long, n long")
+    true = vectors.where(valid(F.col("embedding"))).select(scaled(F.col("embedding").cast("array<double>")).alias("e")).mapInArrow(count, "vec_id long, n long")
     true = true.groupBy("vec_id").agg((F.sum("n") - 1).alias("n"))
     r = true.join(found, "vec_id").agg(F.sum("n"), F.sum(F.least("n", "n_links"))).first()
     return 1.0 if not r[0] else r[1] / r[0]

@@ -219,8 +219,10 @@ TAGS_SET = frozenset(TAGS)
 
 
 def features(page: list[Block]) -> list[list[str]]:
-    """Active features of each block."""
+    """Active features of each block; outside of a container it matters whether the page has one."""
     out = []
+    inside = ["article" in b.tags or "main" in b.tags or "content" in b.hints for b in page]
+    outside = "outside" if any(inside) else "no container"
     for i, b in enumerate(page):
         words = b.text.count(" ") + 1
         f = ["1", f"own={b.own}" if b.own in OWN else "own=?"]
@@ -234,9 +236,9 @@ def features(page: list[Block]) -> list[list[str]]:
         if "©" in b.text:
             f.append("sign")
         if not b.hints and not b.tags:
-            f.append("bare")
-        if "article" in b.tags or "main" in b.tags or "content" in b.hints:
-            f.append("inside")
+            f.append(f"bare, {outside}")
+        place = "inside" if inside[i] else outside
+        f += [place, f"{place}, {f[1]}", f"{place}, {'long' if words >= 10 else 'short'}"]
         f.append("at=" + ("0" if i < 3 else "2" if i >= len(page) - 3 else "1"))
         out.append(f)
     return out
@@ -246,13 +248,13 @@ def features(page: list[Block]) -> list[list[str]]:
 
 
 def labelled_pages(n: int = 400, seed: int = 5) -> list[tuple[str, dict[str, int]]]:
-    """Generated pages of many layouts with the label (1 content, 0 not) of each block's text; every fifth is short, often without a title."""
+    """Generated pages of many layouts with the label (1 content, 0 not) of each block's text; every fifth is short, often without a title, and a fifth more have no container."""
     rng = np.random.default_rng(seed)
     syllables = ["th", "er", "on", "an", "re", "ti", "en", "la", "de", "ung", "que", "mor", "vel", "sa", "ki", "no"]
     one = lambda xs: xs[int(rng.integers(len(xs)))]
     chance = lambda p: bool(rng.random() < p)
     out = []
-    for page_number in range(n):
+    for page_number in range(n + n // 5):
         labels: dict[str, int] = {}
 
         def say(label, lo, hi, stop="."):
@@ -304,6 +306,28 @@ def labelled_pages(n: int = 400, seed: int = 5) -> list[tuple[str, dict[str, int
             return f"<{(t := one(['div', 'section', 'ol']))}{cls('comments', 'comment', 'comment-list', 'discussion', 'replies')}>{one(['', f'<h3>{say(0, 1, 3, "")}</h3>'])}{inner}</{t}>"
 
         page = "<!DOCTYPE html><html><head><title>x</title><style>p{}</style><script>var a='<p>';</script></head><body>"
+        if page_number >= n:  # no container: the text lies in the body, or in elements without a name
+            page = one([page, "<html><body>", "<body>", ""])
+            page += f"<nav><ul>{links(int(rng.integers(2, 7)))}</ul></nav>" if chance(0.35) else ""
+            page += f"<div{cls('cookie', 'consent', 'notice')}><p>{say(0, 4, 30)}</p></div>" if chance(0.15) else ""
+            page += ad() if chance(0.2) else ""
+            page += f"<form><label>{say(0, 1, 3, '')}</label><input><button>{say(0, 1, 2, '')}</button></form>" if chance(0.1) else ""
+            tag = one(["", "", "", "<div>", "<section>", "<center>"])
+            if chance(0.25):  # but where there is one, other text is not content
+                tag = one(["<article>", "<main>", "<div class='content'>"])
+                stray = lambda: one(["<div>{}</div>", "<p>{}</p>", "<div><p>{}</p></div>", "<span>{}</span>"]).format(say(0, 1, 30))
+                page += stray() if chance(0.4) else ""
+                page += f"{tag}{paragraphs(int(rng.integers(1, 6)))}</{re.findall('<(.*?)[ >]', tag)[0]}>{stray()}"
+                out.append((page + "</body></html>", labels))
+                continue
+            page += tag + (f"<h1>{say(1, 1, 9, '')}</h1>" if chance(0.6) else "")
+            page += one([lambda: say(1, 1, 60), lambda: f"<p>{say(1, 1, 60)}</p>", lambda: paragraphs(int(rng.integers(1, 8))), lambda: paragraphs(int(rng.integers(1, 8)))])()
+            page += f"</{tag[1:]}" if tag else ""
+            page += comments() if chance(0.15) else ""
+            page += f"<aside><h3>{say(0, 1, 3, '')}</h3><ul>{links(3)}</ul></aside>" if chance(0.15) else ""
+            page += f"<footer>{one(['', '<p>'])}{one(['', '© '])}{say(0, 1, 12)}</footer>" if chance(0.35) else ""
+            out.append((page + one(["", "</body></html>"]), labels))
+            continue
         if page_number % 5 == 4:
             tag = one(["<article>", "<main>", "<main><article>", f"<div{cls('content', 'article', 'post', 'entry-content', 'story')}>", "<article>"])
             inner = one([lambda: say(1, 1, 40), lambda: f"<p>{say(1, 1, 60)}</p>", lambda: f"<p>{say(1, 5, 60)}", lambda: f"<h1>{say(1, 1, 8, '')}</h1>", lambda: f"<div>{say(1, 3, 40)}</div>", lambda: f"<p>{say(1, 1, 5, '')}</p><p>{say(1, 5, 30)}</p>"])()
@@ -359,7 +383,7 @@ class Field:
     move: tuple[tuple[float, float], tuple[float, float]]
 
 
-def train(pages: list[tuple[str, dict[str, int]]], epochs: int = 120, rate: float = 0.15, decay: float = 1e-3) -> Field:
+def train(pages: list[tuple[str, dict[str, int]]], epochs: int = 300, rate: float = 0.15, decay: float = 1e-3) -> Field:
     """Maximum likelihood by forward-backward over all pages at once; unlabelled blocks count as not content."""
     data = []
     for html, labels in pages:
@@ -446,8 +470,11 @@ def extract(pages: DataFrame, field: Field | None = None) -> DataFrame:
     """The main text of every row of ``pages(page_id, url, html)``.
 
     Blocks in page order joined by an empty line; white space inside a block is one space.
-    A null or empty html gives an empty text, and so does a page without content. Repeated
-    rows get equal texts; null ids and urls are kept; further columns are ignored.
+    A null or empty html gives an empty text, and so does a page without content; where no
+    element is named as a container of content, what is neither menu, notice, advert nor the
+    like counts. Very long pages are taken whole, in time linear in their size. Repeated rows
+    get equal texts; null ids and urls are kept; further columns, whatever their names, are
+    ignored; an empty table gives no rows.
     """
     field = field or default_field()
     cols = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))

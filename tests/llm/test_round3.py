@@ -6,10 +6,11 @@ import re
 import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sparkfield.llm import fim, periodic, personal
+from sparkfield.llm import embedding_graph, fim, html_text, periodic, personal
 from tests.conftest import SF, SF01
 
 from .conftest import prose
@@ -196,3 +197,44 @@ def test_personal_data_on_odd_texts(odd, empty):
     assert personal.report(empty).count() == 0
     rows = personal.report(odd.withColumn("key", F.lit(1)).withColumn("kind", F.lit(2))).collect()
     assert len(rows) == 12 and all(r.n_email + r.n_ip + r.n_card + r.n_phone == 0 and r.spans == "" for r in rows)
+
+
+@pytest.mark.parametrize(
+    ("html", "want"),
+    [
+        ("<body><h1>T one</h1><p>First thing said here.</p><p>Second thing said here.</p></body>", "T one\n\nFirst thing said here.\n\nSecond thing said here."),
+        ("<html><body><p>The only paragraph of this page.</p></body></html>", "The only paragraph of this page."),
+        ("plain text without any markup", "plain text without any markup"),
+        ("<nav><ul><li><a href='/'>Home</a></li><li><a href='/a'>About</a></li></ul></nav><p>Some words that are the text.</p><footer>© 2020 Somebody</footer>", "Some words that are the text."),
+        ("<body><nav><a href='/'>Home</a></nav><article><p>The text of the article itself.</p></article><div>Stray words outside.</div></body>", "The text of the article itself."),
+    ],
+)
+def test_pages_without_a_container(html, want):
+    assert html_text.main_text(html_text.default_field(), html) == want
+
+
+def test_bare_pages_held_out():
+    field = html_text.default_field()
+    wrong = total = 0
+    for html, labels in html_text.labelled_pages(300, seed=77)[300:]:
+        page = html_text.blocks(html)
+        got = html_text.viterbi(field, html_text.features(page))
+        total += len(page)
+        wrong += sum(g != labels.get(b.text, 0) for g, b in zip(got, page, strict=True))
+    print("bare pages: blocks wrong", wrong, "of", total)
+    assert wrong <= 0.03 * total
+
+
+def test_vectors_near_the_ends_of_a_doubles_range(spark):
+    rng = np.random.default_rng(4)
+    base = rng.normal(size=16)
+    rows = [(i, (base + rng.normal(scale=0.02, size=16)).tolist()) for i in range(60)]
+    other = rng.normal(size=16)
+    rows += [(100, [1e-200] * 16), (101, (np.array(rows[0][1]) * 1e200).tolist()), (102, (np.array(rows[1][1]) * 1e-250).tolist()), (103, [5e-324] * 16), (104, (other * 1e300).tolist()), (105, (other * 1e-300).tolist())]
+    rows += [(200 + i, [1.0 + 0.001 * i, 2.0, 3.0]) for i in range(5)] + [(300, [1e-200, 2e-200, 3e-200]), (301, [0.0, 0.0, 1e-320])]  # a minority length
+    got = {r.vec_id: r for r in embedding_graph.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    x = {i: np.array(v) / np.abs(v).max() for i, v in rows}
+    like = lambda a, b: len(x[a]) == len(x[b]) and x[a] @ x[b] / np.sqrt((x[a] @ x[a]) * (x[b] @ x[b])) >= 0.95
+    want = {a: [b for b in x if b != a and like(a, b)] for a in x}
+    assert {i: r.n_links for i, r in got.items()} == {i: len(b) for i, b in want.items()}
+    assert got[101].component_id == got[102].component_id == 0 and got[103].component_id == 100 and got[105].component_id == 104 and got[300].component_id == 200 and got[301].kept
