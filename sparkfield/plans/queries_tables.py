@@ -22,11 +22,11 @@ def _loads(spark, sf_dir, n: int = N):
     inner = lambda: F.explode(F.sequence(F.lit(1), F.lit(n - 1)))
     cells = table(spark, sf_dir, "supplier").select("s_suppkey", (F.col("s_nationkey") + 1.0).alias("a"), inner().alias("i")).select("*", inner().alias("j"))
     bump = lambda c: F.col(c) * (n - F.col(c))
-    return cells.select("s_suppkey", F.col("i").cast("int").alias("i"), F.col("j").cast("int").alias("j"), (F.col("a") * 2 * (bump("i") + bump("j")) / 4096.0).alias("f"))
+    return cells.select("s_suppkey", F.col("i").cast("int").alias("i"), F.col("j").cast("int").alias("j"), (F.col("a") * 2 * (bump("i") + bump("j")) / 3000.0).alias("f"))
 
 
 def _poisson_sql(n):
-    return f"SELECT s_suppkey, CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, round((s_nationkey + 1.0) * i * ({n} - i) * j * ({n} - j) / 4096.0, 4) AS u, 'SUCCESS' AS status FROM supplier CROSS JOIN (SELECT unnest(range(1, {n})) AS i) CROSS JOIN (SELECT unnest(range(1, {n})) AS j)"
+    return f"SELECT s_suppkey, CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, round((s_nationkey + 1.0) * i * ({n} - i) * j * ({n} - j) / 3000.0, 4) AS u, 'SUCCESS' AS status FROM supplier CROSS JOIN (SELECT unnest(range(1, {n})) AS i) CROSS JOIN (SELECT unnest(range(1, {n})) AS j)"
 
 
 @query(_poisson_sql(N))
