@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from sparkfield.operators import graph, krylov, solvers, systems
+from sparkfield.operators import barriers, graph, krylov, solvers, systems
 from sparkfield.functions.expr import var
 from sparkfield.plans.durable import saved
 from sparkfield.sources.lenses import table
@@ -148,3 +148,38 @@ def graph_depends_on(spark, sf_dir):
     edges = edges.where("var like 'o%'")
     reached = graph.closure(edges).select(F.col("dep").alias("var")).distinct().withColumn("has", F.lit(True))
     return nodes.where("var like 'c%'").join(reached, "var", "left").select(F.substring("var", 2, 20).alias("var"), F.coalesce("has", F.lit(False)).alias("has"))
+
+
+# --- barriers
+
+
+def _planes(spark, sf_dir):
+    """A line for each part: level, upright or diagonal, by its key."""
+    p = table(spark, sf_dir, "part")
+    kind = F.col("p_partkey") % 3
+    normal = F.when(kind == 0, F.array(F.lit(0.0), F.lit(1.0))).when(kind == 1, F.array(F.lit(1.0), F.lit(0.0))).otherwise(F.array(F.lit(1.0), F.lit(1.0)))
+    point = F.array((F.col("p_partkey") % 97) * 0.5, (F.col("p_partkey") % 53) * 0.5)
+    half = 0.3 + F.col("p_size") / 16.0
+    return p.select(F.col("p_partkey").alias("bid"), normal.alias("normal"), point.alias("point"), F.array(-half).alias("low"), F.array(half).alias("high"), (F.col("p_partkey") % 7 != 0).alias("active"))
+
+
+@query("""WITH b AS (SELECT p_partkey AS bid, p_partkey % 3 AS kind, (p_partkey % 97) * 0.5 AS px, (p_partkey % 53) * 0.5 AS py, 0.3 + p_size / 16.0 AS half FROM part WHERE p_partkey % 7 <> 0),
+p AS (SELECT o_orderkey, (o_custkey % 101) * 0.5 AS x, (o_orderkey % 61) * 0.5 AS y FROM orders)
+SELECT o_orderkey, min(bid) AS bid FROM p LEFT JOIN b ON CASE kind WHEN 0 THEN y = py AND abs(x - px) <= half WHEN 1 THEN x = px AND abs(y - py) <= half ELSE x - px = py - y AND abs(x - px) * sqrt(2) <= half END GROUP BY 1""")
+def points_near_planes(spark, sf_dir):
+    """Orders as points on a lattice, a bounded line for each part."""
+    points = table(spark, sf_dir, "orders").select("o_orderkey", ((F.col("o_custkey") % 101) * 0.5).alias("x"), ((F.col("o_orderkey") % 61) * 0.5).alias("y"))
+    return barriers.near_barriers(points, "o_orderkey", ["x", "y"], _planes(spark, sf_dir), size=2.0)
+
+
+@query("""WITH b AS (SELECT s_suppkey AS bid, s_suppkey % 2 AS kind, (s_suppkey % 17) * 0.5 AS px, (s_suppkey % 13) * 0.5 AS py, (s_suppkey % 11) * 0.5 AS pz, 0.7 + s_nationkey / 8.0 AS half FROM supplier),
+p AS (SELECT c_custkey, (c_custkey % 23) * 0.5 AS x, (c_custkey % 19) * 0.5 AS y, c_nationkey * 0.5 AS z FROM customer)
+SELECT c_custkey, min(bid) AS bid FROM p LEFT JOIN b ON abs(z - pz) <= half AND CASE kind WHEN 0 THEN x = px AND abs(y - py) <= half ELSE x - px = py - y AND abs(x - px) * sqrt(2) <= half END GROUP BY 1""")
+def points_near_planes_3d(spark, sf_dir):
+    """Upright and diagonal rectangles in space."""
+    s = table(spark, sf_dir, "supplier")
+    normal = F.when(F.col("s_suppkey") % 2 == 0, F.array(F.lit(1.0), F.lit(0.0), F.lit(0.0))).otherwise(F.array(F.lit(1.0), F.lit(1.0), F.lit(0.0)))
+    half = 0.7 + F.col("s_nationkey") / 8.0
+    planes = s.select(F.col("s_suppkey").alias("bid"), normal.alias("normal"), F.array(*((F.col("s_suppkey") % m) * 0.5 for m in (17, 13, 11))).alias("point"), F.array(-half, -half).alias("low"), F.array(half, half).alias("high"))
+    points = table(spark, sf_dir, "customer").select("c_custkey", ((F.col("c_custkey") % 23) * 0.5).alias("x"), ((F.col("c_custkey") % 19) * 0.5).alias("y"), (F.col("c_nationkey") * 0.5).alias("z"))
+    return barriers.near_barriers(points, "c_custkey", ["x", "y", "z"], planes, size=1.0)
