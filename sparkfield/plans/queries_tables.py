@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from sparkfield.operators import barriers, graph, krylov, solvers, systems
+from sparkfield.operators import barriers, forest, graph, krylov, lattice, solvers, systems
 from sparkfield.functions.expr import var
 from sparkfield.plans.durable import saved
 from sparkfield.sources.lenses import table
@@ -183,3 +183,105 @@ def points_near_planes_3d(spark, sf_dir):
     planes = s.select(F.col("s_suppkey").alias("bid"), normal.alias("normal"), F.array(*((F.col("s_suppkey") % m) * 0.5 for m in (17, 13, 11))).alias("point"), F.array(-half, -half).alias("low"), F.array(half, half).alias("high"))
     points = table(spark, sf_dir, "customer").select("c_custkey", ((F.col("c_custkey") % 23) * 0.5).alias("x"), ((F.col("c_custkey") % 19) * 0.5).alias("y"), (F.col("c_nationkey") * 0.5).alias("z"))
     return barriers.near_barriers(points, "c_custkey", ["x", "y", "z"], planes, size=1.0)
+
+
+# --- expressions as tables
+def _order_sums(spark, sf_dir):
+    """Each order as the sum of its lines, added one by one, and each line as a coefficient times a variable; every other operation has its operands the other way round."""
+    li = table(spark, sf_dir, "lineitem")
+    w = W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
+    line = li.select(F.col("l_orderkey").alias("expr"), F.row_number().over(w).cast("long").alias("r"), (F.col("l_quantity").cast("int") % 2).cast("string").alias("c"), F.concat(F.lit("x"), (F.col("l_partkey") % 2).cast("string")).alias("x"))
+    line = saved(line)
+    at = lambda k: (F.col("r") * 4 + k).alias("node")
+    none = F.lit(None).cast("string").alias("label")
+    nodes = [line.select("expr", at(1), F.lit("lit").alias("op"), F.col("c").alias("label")), line.select("expr", at(2), F.lit("var").alias("op"), F.col("x").alias("label"))]
+    nodes += [line.select("expr", at(3), F.lit("*").alias("op"), none), line.where("r > 1").select("expr", at(0), F.lit("+").alias("op"), none)]
+    swap = (F.col("r") % 2).cast("int")
+    edge = lambda parent, pos, child: F.struct(parent.alias("parent"), pos.cast("int").alias("pos"), child.alias("child"))
+    r = F.col("r")
+    inner = F.array(edge(r * 4 + 3, swap, r * 4 + 1), edge(r * 4 + 3, 1 - swap, r * 4 + 2))
+    outer = F.array(edge(r * 4, swap, F.when(r == 2, F.lit(7).cast("long")).otherwise(r * 4 - 4)), edge(r * 4, 1 - swap, r * 4 + 3))
+    children = line.select("expr", F.explode(F.when(r > 1, F.concat(inner, outer)).otherwise(inner)).alias("e")).select("expr", "e.*")
+    return nodes[0].unionByName(nodes[1]).unionByName(nodes[2]).unionByName(nodes[3]), children
+
+
+_SHA = "sha256('{op}||' || least({a}, {b}) || ',' || greatest({a}, {b}))"
+_LEAVES = "sha256('lit|' || {c} || '|')", "sha256('var|x' || {x} || '|')"
+_ORDER_SUMS = f"""l AS (SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS r, CAST(CAST(l_quantity AS INTEGER) % 2 AS VARCHAR) AS c, CAST(l_partkey % 2 AS VARCHAR) AS x FROM lineitem),
+m AS (SELECT l_orderkey, r, {_SHA.format(op='*', a=_LEAVES[0].format(c='c'), b=_LEAVES[1].format(x='x'))} AS h FROM l),
+o AS (SELECT l_orderkey, list_reduce(list(h ORDER BY r), lambda a, b: {_SHA.format(op='+', a='a', b='b')}) AS hash, CAST(4 * count(*) - 1 AS BIGINT) AS size FROM m GROUP BY 1)"""
+
+
+def _order_hashes(spark, sf_dir):
+    nodes, children = _order_sums(spark, sf_dir)
+    return forest.hashes(nodes, children).join(forest.roots(nodes, children), ["expr", "node"]).drop("node")
+
+
+@query(f"WITH {_ORDER_SUMS} SELECT l_orderkey, hash, size, min(l_orderkey) OVER (PARTITION BY hash) AS first, l_orderkey = min(l_orderkey) OVER (PARTITION BY hash) AS is_new FROM o")
+def expr_table_registry(spark, sf_dir):
+    """Orders that are the same sum but for the order of operands."""
+    return forest.registered(_order_hashes(spark, sf_dir)).select(F.col("expr").alias("l_orderkey"), "hash", "size", "first", "is_new")
+
+
+@query(f"""WITH {_ORDER_SUMS}, n AS (SELECT hash, count(*) AS n FROM o GROUP BY 1),
+p AS (SELECT p_partkey, {_SHA.format(op='*', a=_LEAVES[0].format(c='CAST(p_size % 3 AS VARCHAR)'), b=_LEAVES[1].format(x='CAST(p_partkey % 2 AS VARCHAR)'))} AS hash FROM part)
+SELECT p_partkey, coalesce(n, 0) AS n, n IS NOT NULL AS known FROM p LEFT JOIN n USING (hash)""")
+def expr_table_matching(spark, sf_dir):
+    """For a product per part, how many orders are that product."""
+    p = table(spark, sf_dir, "part")
+    leaf = lambda node, op, label: F.struct(F.lit(node).alias("node"), F.lit(op).alias("op"), label.cast("string").alias("label"))
+    parts = F.array(leaf(1, "lit", F.col("p_size") % 3), leaf(2, "var", F.concat(F.lit("x"), (F.col("p_partkey") % 2).cast("string"))), leaf(3, "*", F.lit(None)))
+    nodes = p.select(F.col("p_partkey").alias("expr"), F.explode(parts).alias("n")).select("expr", "n.*")
+    children = nodes.where("node < 3").select("expr", F.lit(3).alias("parent"), F.col("node").alias("pos"), F.col("node").alias("child"))
+    probes = forest.hashes(nodes, children).where("node = 3").select(F.col("expr").alias("p_partkey"), "hash")
+    return forest.matching(probes, _order_hashes(spark, sf_dir)).select("p_partkey", "n", (F.col("n") > 0).alias("known"))
+
+
+@query("SELECT l_orderkey, concat('x', l_partkey % 2) AS name, count(*) AS n FROM lineitem GROUP BY 1, 2")
+def expr_table_variables(spark, sf_dir):
+    return forest.variable_counts(_order_sums(spark, sf_dir)[0]).withColumnRenamed("expr", "l_orderkey")
+
+
+# --- grids of four axes
+_FOUR = lattice.Lattice((7, 12, 7, 5), (1.0, 0.5, 1.0, 0.25))
+_FOUR_SQL = """c AS (SELECT year(l_shipdate) - 1995 AS a, month(l_shipdate) - 1 AS b, l_linenumber - 1 AS c, CAST(floor((l_quantity - 1) / 10) AS BIGINT) AS d, CAST(count(*) AS DOUBLE) AS u FROM lineitem GROUP BY 1, 2, 3, 4),
+g AS (SELECT x.a, y.b, z.c, w.d, coalesce(u, 0.0) AS u FROM (SELECT unnest(range(7)) AS a) x CROSS JOIN (SELECT unnest(range(12)) AS b) y CROSS JOIN (SELECT unnest(range(7)) AS c) z CROSS JOIN (SELECT unnest(range(5)) AS d) w LEFT JOIN c ON c.a = x.a AND c.b = y.b AND c.c = z.c AND c.d = w.d)"""
+
+
+def _four_second(axis, n, h):
+    w = f"(PARTITION BY {', '.join(x for x in 'abcd' if x != axis)} ORDER BY {axis})"
+    return f"CASE WHEN {axis} IN (0, {n - 1}) THEN 0.0 ELSE (lag(u) OVER {w} - 2 * u + lead(u) OVER {w}) / ({h} * {h}) END"
+
+
+def _four_first(axis, n, h):
+    w = f"(PARTITION BY {', '.join(x for x in 'abcd' if x != axis)} ORDER BY {axis})"
+    return f"CASE WHEN {axis} = 0 THEN (lead(u) OVER {w} - u) / {h} WHEN {axis} = {n - 1} THEN (u - lag(u) OVER {w}) / {h} ELSE (lead(u) OVER {w} - lag(u) OVER {w}) / (2 * {h}) END"
+
+
+def _four(spark, sf_dir):
+    """Line items by year, month, line number and tens of quantity."""
+    at = _FOUR.place([F.year("l_shipdate") - 1995, F.month("l_shipdate") - 1, F.col("l_linenumber") - 1, F.floor((F.col("l_quantity") - 1) / 10)])
+    counted = table(spark, sf_dir, "lineitem").select(at.alias("pos")).where("pos is not null").groupBy("pos").agg(F.count(F.lit(1)).cast("double").alias("u"))
+    return _FOUR.densify(counted)
+
+
+_AXES = list(zip("abcd", _FOUR.shape, _FOUR.spacing, strict=True))
+_POS = "CAST(((a * 12 + b) * 7 + c) * 5 + d AS BIGINT)"
+
+
+@query(f"WITH {_FOUR_SQL} SELECT {_POS} AS pos, {' + '.join(_four_second(*x) for x in _AXES)} AS lap FROM g")
+def lattice_laplacian(spark, sf_dir):
+    return _FOUR.laplacian(_four(spark, sf_dir))
+
+
+@query(f"WITH {_FOUR_SQL} SELECT {_POS} AS pos, {', '.join(f'{_four_first(*x)} AS d{k}' for k, x in enumerate(_AXES))} FROM g")
+def lattice_gradient(spark, sf_dir):
+    return _FOUR.gradient(_four(spark, sf_dir))
+
+
+@query(f"WITH {_FOUR_SQL} SELECT {_POS} AS pos, CAST(a AS INTEGER) AS a, CAST(b AS INTEGER) AS b, CAST(c AS INTEGER) AS c, CAST(d AS INTEGER) AS d, CAST(0.5 * b AS DOUBLE) AS y, {_POS} AS back, a IN (0, 6) OR b IN (0, 11) OR c IN (0, 6) OR d IN (0, 4) AS edge FROM g WHERE u > 0")
+def lattice_addressing(spark, sf_dir):
+    cells = _four(spark, sf_dir).where("u > 0")
+    a, b, c, d = _FOUR.index(F.col("pos"))
+    xyz = _FOUR.coords(F.col("pos"))
+    return cells.select("pos", a.alias("a"), b.alias("b"), c.alias("c"), d.alias("d"), xyz[1].alias("y"), _FOUR.nearest(xyz).alias("back"), _FOUR.is_edge(F.col("pos")).alias("edge"))
