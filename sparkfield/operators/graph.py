@@ -55,14 +55,15 @@ def _levels(nodes: DataFrame, edges: DataFrame, leaf: str, other: str) -> DataFr
     A node with one open predecessor is at max(c, level of that one + d), and such functions
     compose to one of their kind: by pointer doubling every tree and chain is settled in a
     number of joins that grows with the logarithm of its depth. What remains are nodes with
-    several open predecessors; their settled ones become constants, and the round repeats.
+    several open predecessors; their settled ones become constants, and the round repeats. The
+    nodes that hang on them by one way are settled afterwards, last round first.
     """
     own = nodes.select("var").distinct()
     inner = edges.select(F.col(leaf).alias("var"), F.col(other).alias("p")).distinct().join(own, "var", "left_semi").join(own.withColumnRenamed("var", "p"), "p", "left_semi")
     # of each node: c, the least level that settled predecessors allow, and its edges to open ones
     base = saved(own.withColumn("c", F.lit(0)))
     inner = saved(inner.select("var", "p", F.lit(1).alias("d")))
-    done = None
+    done, waiting = None, []
     while True:
         one = inner.groupBy("var").agg(F.count(F.lit(1)).alias("n"), F.min("p").alias("p"), F.min("d").alias("d"))
         state = saved(base.join(one, "var", "left").select("var", "c", F.coalesce("n", F.lit(0)).alias("n"), "p", "d"))
@@ -88,6 +89,8 @@ def _levels(nodes: DataFrame, edges: DataFrame, leaf: str, other: str) -> DataFr
         done = saved(done)
         if not counts.joins:
             break
+        # nodes whose one way leads to a node with several predecessors wait for that one
+        waiting.append(jump.where("p is not null").select(F.col("var").alias("_var"), F.col("c").alias("_c"), F.col("p").alias("var"), F.col("d").alias("_d")))
         # the rest: nodes with several predecessors, whose edges now begin where the jumps ended
         rest = state.where("n > 1").select("var", "c")
         reach = jump.select(F.col("var").alias("p"), F.col("c").alias("_c"), F.col("p").alias("_p"), F.col("d").alias("_d"))
@@ -96,7 +99,11 @@ def _levels(nodes: DataFrame, edges: DataFrame, leaf: str, other: str) -> DataFr
         base = saved(rest.join(fixed, "var", "left").select("var", F.greatest("c", F.coalesce("_best", "c")).alias("c")))
         open_ = moved.where("_c is null or _p is not null").select("var", F.when(F.col("_c").isNull(), F.col("p")).otherwise(F.col("_p")).alias("p"), (F.col("d") + F.coalesce("_d", F.lit(0))).alias("d"))
         inner = saved(open_.groupBy("var", "p").agg(F.max("d").alias("d")))
-    return done if done is not None else nodes.select("var", F.lit(0).alias("level")).where("false")
+    if done is None:
+        return nodes.select("var", F.lit(0).alias("level")).where("false")
+    for those in reversed(waiting):
+        done = saved(done.unionByName(those.join(done, "var").select(F.col("_var").alias("var"), F.greatest("_c", F.col("level") + F.col("_d")).alias("level"))))
+    return done
 
 
 def topological_levels(nodes: DataFrame, edges: DataFrame, order: str = "dependents_first") -> tuple[DataFrame, bool]:

@@ -5,12 +5,15 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from sparkfield.operators import barriers, forest, graph, krylov, lattice, solvers, systems
-from sparkfield.functions.expr import var
+from sparkfield.functions import calculus
+from sparkfield.functions.expr import derivative_of, einsum, var
+from sparkfield.operators import barriers, forest, graph, krylov, lattice, solvers, systems, tiles
 from sparkfield.plans.durable import saved
+from sparkfield.sources import lenses
 from sparkfield.sources.lenses import table
 
-from .queries import query, six
+from . import compile
+from .queries import GRID, MATRIX, W_I, _next, _out, query, six, sql_difference
 
 # --- solvers
 N = 10
@@ -285,3 +288,56 @@ def lattice_addressing(spark, sf_dir):
     a, b, c, d = _FOUR.index(F.col("pos"))
     xyz = _FOUR.coords(F.col("pos"))
     return cells.select("pos", a.alias("a"), b.alias("b"), c.alias("c"), d.alias("d"), xyz[1].alias("y"), _FOUR.nearest(xyz).alias("back"), _FOUR.is_edge(F.col("pos")).alias("edge"))
+
+
+# --- tensors
+@query("""WITH a AS (SELECT l_orderkey // 4 AS r, l_partkey AS c, sum(CAST(l_linenumber AS DOUBLE)) AS v FROM lineitem GROUP BY 1, 2),
+b AS (SELECT p_partkey AS c, p_size % 8 AS k, CAST(p_partkey % 5 + 1 AS DOUBLE) AS v FROM part)
+SELECT r, CAST(k AS BIGINT) AS k, sum(a.v * b.v) AS v FROM a JOIN b USING (c) GROUP BY 1, 2""")
+def tensor_matmul_tiles(spark, sf_dir):
+    """Orders by parts times parts by sizes, in tiles of 64 by 64."""
+    li, p = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "part")
+    a = tiles.tiled(li.select(F.expr("l_orderkey div 4").alias("row"), F.col("l_partkey").alias("col"), F.col("l_linenumber").alias("v")))
+    b = tiles.tiled(p.select(F.col("p_partkey").alias("row"), (F.col("p_size") % 8).alias("col"), (F.col("p_partkey") % 5 + 1).alias("v")))
+    return tiles.entries(tiles.matmul(a, b)).select(F.col("row").alias("r"), F.col("col").cast("long").alias("k"), "v")
+
+
+@query("SELECT l_orderkey // 4 AS part, l_partkey AS row, sum(CAST(l_linenumber AS DOUBLE)) AS v FROM lineitem GROUP BY 1, 2")
+def tensor_transpose_tiles(spark, sf_dir):
+    li = table(spark, sf_dir, "lineitem")
+    a = tiles.tiled(li.select(F.expr("l_orderkey div 4").alias("row"), F.col("l_partkey").alias("col"), F.col("l_linenumber").alias("v")))
+    return tiles.entries(tiles.transposed(a)).select(F.col("col").alias("part"), "row", "v")
+
+
+@query(f"WITH {MATRIX}, p AS (SELECT a.vec_id, a.j, b.k, sum(a.v * b.v) AS v FROM m a JOIN m b ON b.vec_id = a.vec_id + 1 AND a.k = b.j GROUP BY 1, 2, 3) SELECT vec_id, j, k, 2 * v AS v FROM p")
+def expr_product_derivatives(spark, sf_dir):
+    """d/dt of einsum(tA, B) + (tA) @ B, by the rules for einsum and matmul: twice the product of A and B."""
+    t, a, b = var("t"), var("A"), var("B")
+    e = einsum(t * a, "ij", "ik", b, "jk") + (t * a) @ b
+    env = {"A": lenses.matrices(spark, sf_dir), "B": _next(spark, sf_dir)}
+    return _out(compile.tensors(calculus.simplify(calculus.derivative(e, "t")), env, spark), "i")
+
+
+@query(f"WITH {MATRIX} SELECT a.vec_id, sum(a.v * b.v) AS v FROM m a JOIN m b ON b.vec_id = a.vec_id + 1 AND a.j = b.j AND a.k = b.k GROUP BY 1")
+def expr_dot_derivative(spark, sf_dir):
+    """d/dt of dot(tA, B)."""
+    t, a, b = var("t"), var("A"), var("B")
+    env = {"A": lenses.matrices(spark, sf_dir), "B": _next(spark, sf_dir)}
+    return _out(compile.tensors(calculus.simplify(calculus.derivative((t * a).dot(b), "t")), env, spark), "i", "j", "k")
+
+
+@query(f"WITH {GRID} SELECT i, j, 2 * ({sql_difference(1, 'i', 84, W_I)}) AS d FROM g")
+def grid_derivative_of_derivative(spark, sf_dir):
+    """d/dx of the node d(u u)/du, which becomes the difference along x of 2 u."""
+    e = calculus.simplify(calculus.derivative(derivative_of(var("u") * var("u"), "u"), "x"))
+    return compile.on_grid(lenses.months(spark, sf_dir), e, lenses.months_grid(), "d").select("i", "j", "d")
+
+
+@query("""WITH n AS (SELECT p_partkey, CAST(p_partkey % 3 AS DOUBLE) AS x, CAST(p_size % 4 AS DOUBLE) AS y FROM part WHERE p_partkey % 3 + p_size % 4 > 0)
+SELECT p_partkey, round(abs(x / sqrt(x * x + y * y)), 6) AS cross, CAST(1 AS DOUBLE) AS length, CAST(0 AS DOUBLE) AS along FROM n""")
+def plane_basis(spark, sf_dir):
+    """Within a line with normal (x, y): the direction's length, its product with the normal, and its second component's size."""
+    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("bid"), F.array((F.col("p_partkey") % 3).cast("double"), (F.col("p_size") % 4).cast("double")).alias("normal"))
+    p = p.where(F.col("normal")[0] + F.col("normal")[1] > 0).select("bid", "normal", F.array(F.lit(0.0), F.lit(0.0)).alias("point"), F.array(F.lit(-1.0)).alias("low"), F.array(F.lit(1.0)).alias("high"))
+    d, n = F.col("directions")[0], F.col("normal")
+    return barriers.prepared(p, 2).select(F.col("bid").alias("p_partkey"), F.round(F.abs(d[1]), 6).alias("cross"), F.round(F.sqrt(d[0] * d[0] + d[1] * d[1]), 6).alias("length"), F.round(F.abs(d[0] * n[0] + d[1] * n[1]), 6).alias("along"))
