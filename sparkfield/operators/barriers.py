@@ -100,3 +100,19 @@ def near_barriers(points: DataFrame, key: str, coords: Sequence[str], barriers:
     met = located.join(cells_of(planes, dims, size, tolerance), "cell").join(planes, "bid").where(holds(F.col("_at"), tolerance))
     first = met.groupBy("_key").agg(F.min("bid").alias("bid"))
     return points.select(F.col(key).alias("_key")).join(first, "_key", "left").withColumnRenamed("_key", key)
+
+
+def moved(barriers: DataFrame, moves: DataFrame) -> DataFrame:
+    """Barriers with their points shifted by ``moves(bid, by)``, a vector for each bid at most; the others stay."""
+    by = moves.select(F.col("bid").alias("_bid"), F.col("by").alias("_by"))
+    point = F.when(F.col("_by").isNull(), F.col("point")).otherwise(F.zip_with("point", "_by", lambda p, d: p + d))
+    return barriers.join(by, F.col("bid") == F.col("_bid"), "left").withColumn("point", point).select(*barriers.columns)
+
+
+def deleted(barriers: DataFrame, gone: DataFrame) -> DataFrame:
+    """Barriers whose bid is not in ``gone(bid)``."""
+    return barriers.join(gone.select("bid").distinct(), "bid", "left_anti").select(*barriers.columns)
+
+
+def cleared(barriers: DataFrame) -> DataFrame:
+    return barriers.where(F.lit(False))

@@ -132,11 +132,13 @@ def near_boundary(barriers: Sequence[Barrier], coords: Sequence[Column], toleran
     return out
 
 
-def segments_to_barriers(points: DataFrame, order: str = "ord") -> DataFrame:
+def segments_to_barriers(points: DataFrame, order: str = "ord", right: bool = False) -> DataFrame:
     """Consecutive pairs of end points (x, y) as segment rows: normal, midpoint, half length.
 
-    Segments shorter than 1e-6 are dropped.
+    The normal points to the left of the way from the first end to the second, or to its
+    ``right``. Segments shorter than 1e-6 are dropped.
     """
+    side = -1 if right else 1
     pairs = points.groupBy(F.floor(F.col(order) / 2).alias("bid")).agg(
         F.min_by("x", order).alias("x0"), F.min_by("y", order).alias("y0"), F.max_by("x", order).alias("x1"), F.max_by("y", order).alias("y1"), F.count(F.lit(1)).alias("ends")
     )
@@ -144,8 +146,8 @@ def segments_to_barriers(points: DataFrame, order: str = "ord") -> DataFrame:
     pairs = pairs.where("ends = 2").withColumn("len", length).where("len >= 1e-6")
     return pairs.select(
         "bid",
-        (-(F.col("y1") - F.col("y0")) / F.col("len")).alias("nx"),
-        ((F.col("x1") - F.col("x0")) / F.col("len")).alias("ny"),
+        (-side * (F.col("y1") - F.col("y0")) / F.col("len")).alias("nx"),
+        (side * (F.col("x1") - F.col("x0")) / F.col("len")).alias("ny"),
         ((F.col("x0") + F.col("x1")) / 2).alias("px"),
         ((F.col("y0") + F.col("y1")) / 2).alias("py"),
         (F.col("len") / 2).alias("half"),

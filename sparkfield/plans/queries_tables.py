@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 
 from sparkfield.functions import calculus
 from sparkfield.functions.expr import derivative_of, einsum, var
-from sparkfield.operators import barriers, forest, graph, krylov, lattice, solvers, systems, tiles
+from sparkfield.operators import barriers, boundary, forest, graph, krylov, lattice, solvers, systems, tiles
 from sparkfield.plans.durable import saved
 from sparkfield.sources import lenses
 from sparkfield.sources.lenses import table
@@ -188,6 +188,25 @@ def points_near_planes_3d(spark, sf_dir):
     return barriers.near_barriers(points, "c_custkey", ["x", "y", "z"], planes, size=1.0)
 
 
+@query("""SELECT p_partkey AS bid, (p_partkey % 97) * 0.5 + CASE WHEN p_partkey IN (SELECT s_suppkey FROM supplier) THEN 0.5 ELSE 0 END + 0.0::DOUBLE AS px, (p_partkey % 53) * 0.5 - CASE WHEN p_partkey IN (SELECT s_suppkey FROM supplier) THEN 0.25 ELSE 0 END + 0.0::DOUBLE AS py
+FROM part WHERE p_partkey NOT IN (SELECT c_custkey FROM customer WHERE c_nationkey < 5)""")
+def barriers_edited(spark, sf_dir):
+    """The parts' lines: those of suppliers' keys moved, those of some customers' keys deleted."""
+    moves = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("bid"), F.array(F.lit(0.5), F.lit(-0.25)).alias("by"))
+    gone = table(spark, sf_dir, "customer").where("c_nationkey < 5").select(F.col("c_custkey").alias("bid"))
+    left = barriers.deleted(barriers.moved(_planes(spark, sf_dir), moves), gone)
+    return left.select("bid", F.col("point")[0].alias("px"), F.col("point")[1].alias("py"))
+
+
+@query("""WITH p AS (SELECT c_custkey // 2 AS bid, c_custkey % 2 AS e, CAST(c_nationkey AS DOUBLE) AS x, CAST(c_custkey % 7 AS DOUBLE) AS y FROM customer),
+s AS (SELECT bid, max(CASE WHEN e = 0 THEN x END) AS x0, max(CASE WHEN e = 0 THEN y END) AS y0, max(CASE WHEN e = 1 THEN x END) AS x1, max(CASE WHEN e = 1 THEN y END) AS y1, count(*) AS n FROM p GROUP BY bid),
+t AS (SELECT *, sqrt((x1 - x0) * (x1 - x0) + (y1 - y0) * (y1 - y0)) AS len FROM s WHERE n = 2)
+SELECT bid, round((y1 - y0) / len, 6) + 0.0 AS nx, round(-(x1 - x0) / len, 6) + 0.0 AS ny FROM t WHERE len >= 1e-6""")
+def barrier_segments_right(spark, sf_dir):
+    points = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("ord"), F.col("c_nationkey").cast("double").alias("x"), (F.col("c_custkey") % 7).cast("double").alias("y"))
+    return boundary.segments_to_barriers(points, right=True).select("bid", six(F.col("nx")).alias("nx"), six(F.col("ny")).alias("ny"))
+
+
 # --- expressions as tables
 def _order_sums(spark, sf_dir):
     """Each order as the sum of its lines, added one by one, and each line as a coefficient times a variable; every other operation has its operands the other way round."""
