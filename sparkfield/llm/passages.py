@@ -195,7 +195,7 @@ def _slices(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.Reco
                 cut, data = cut + len(data), []
 
 
-def common_stretches(x: np.ndarray, y: np.ndarray, least: int, threshold: float, shingle: int = 5, ahead: int | None = None) -> list[tuple[int, int, int, int]]:
+def common_stretches(x: np.ndarray, y: np.ndarray, least: int, threshold: float, shingle: int = 5, ahead: int | None = None, places: np.ndarray | None = None) -> list[tuple[int, int, int, int]]:
     """Stretches (first, last, other first, other last) of tokens whose sets have Jaccard similarity of ``threshold``.
 
     From the first to the last common token; while that is too unlike, it is split at its
@@ -203,16 +203,21 @@ def common_stretches(x: np.ndarray, y: np.ndarray, least: int, threshold: float,
     to a shingle's length on each side, as an edited word changes all shingles at an edge.
     Where both are parts of one text, x beginning ``ahead`` tokens after y, a token is in
     common only with one at least ``least`` places before it, and a stretch whose partner does
-    not end before it is split too: it holds several repeats.
+    not end before it is split too: it holds several repeats. ``places``, of -1 for each
+    number that a token can be, saves sorting the tokens.
     """
-
-    each, ids = np.unique(np.concatenate([x, y]), return_inverse=True)
-    xs, ys = ids[: len(x)], ids[len(x) :]
-    at = np.full(len(each), -1)
-    at[ys[::-1]] = np.arange(len(y))[::-1]  # the first place in y
+    if places is None:
+        ids = np.unique(np.concatenate([x, y]), return_inverse=True)[1]
+        x, y, places = ids[: len(x)], ids[len(x) :], np.full(len(ids), -1)
+    # a token's number from here on: its first place in y, or one beyond y
+    places[y[::-1]] = np.arange(len(y))[::-1]
+    ys, new = places[y], x[places[x] < 0]
+    places[new] = len(y) + np.arange(len(new))
+    xs, n = places[x], len(y) + len(new)
+    places[x] = places[y] = -1
 
     def like(first, last, lo, hi):
-        left, right = np.zeros(len(each), bool), np.zeros(len(each), bool)
+        left, right = np.zeros(n, bool), np.zeros(n, bool)
         left[xs[first : last + 1]] = True
         right[ys[max(0, lo) : hi + 1]] = True
         return np.count_nonzero(left & right) / np.count_nonzero(left | right)
@@ -225,8 +230,8 @@ def common_stretches(x: np.ndarray, y: np.ndarray, least: int, threshold: float,
         ways = [w for w in ways if ahead is None or min(w[3], len(y) - 1) < w[0] + ahead]
         return max(((like(*w), w) for w in ways), default=(0.0, None))
 
-    hit = np.flatnonzero(at[xs] >= 0)
-    to = at[xs[hit]]
+    hit = np.flatnonzero(xs < len(y))
+    to = xs[hit]
     if ahead is not None:
         early = to <= hit + (ahead - least)
         hit, to = hit[early], to[early]
@@ -330,10 +335,13 @@ def worth_comparing(ids: np.ndarray, row: np.ndarray, asks: np.ndarray, pos: np.
     return here
 
 
-def dense_enough(hits: np.ndarray, least: int, threshold: float) -> np.ndarray:
-    """Rows of ``hits`` with a stretch of ``least`` places or more of which the share ``threshold`` are true."""
+def dense_enough(hits: np.ndarray, least: int, threshold: float, again: np.ndarray | None = None) -> np.ndarray:
+    """Rows of ``hits`` with a stretch of ``least`` places or more of which the share ``threshold`` are true; false ones that come ``again`` do not count."""
     run = np.zeros((len(hits), hits.shape[1] + 1))
-    np.cumsum(hits - threshold, axis=1, out=run[:, 1:])
+    weight = hits - threshold
+    if again is not None:
+        weight[:, again] = np.maximum(weight[:, again], 0)
+    np.cumsum(weight, axis=1, out=run[:, 1:])
     return (run[:, least:] - np.minimum.accumulate(run[:, : run.shape[1] - least], axis=1) >= -1e-6).any(1)
 
 
@@ -358,6 +366,7 @@ def _partners(table: pa.Table, least: int, threshold: float, shingle: int, bits:
         asks, others = np.flatnonzero(here & ask[lo:hi]), np.flatnonzero(here & ~ask[lo:hi])
         own = lambda i: ids[cuts[i] : cuts[i + 1]]  # noqa: B023, E731
         has, met = np.zeros(len(each) + 1, bool), np.zeros(n, bool)
+        places, number = np.full(len(each), -1), np.full(len(each) + 1, -1)
         for left in range(0, len(asks), SIDE):
             for right in range(0, len(others), SIDE):
                 i_, j_ = asks[left : left + SIDE], others[right : right + SIDE]
@@ -374,9 +383,20 @@ def _partners(table: pa.Table, least: int, threshold: float, shingle: int, bits:
                     has[own(i)] = True
                     some = some[dense_enough(has[padded[some]], least, threshold)]
                     has[own(i)] = False
+                    if not len(some):
+                        continue
+                    # and of the asker's places; a token's repeats may be missing, as sets are compared
+                    mine, head, back = np.unique(own(i), return_index=True, return_inverse=True)
+                    number[mine] = np.arange(len(mine))
+                    told = np.zeros((len(some), len(mine) + 1), bool)
+                    told[np.arange(len(some))[:, None], number[padded[some]]] = True
+                    number[mine] = -1
+                    again = np.ones(len(back), bool)
+                    again[head] = False
+                    some = some[dense_enough(told[:, back], least, threshold, again)]
                     for j in some[np.argsort(-both[at, some], kind="stable")].tolist():
                         ahead = int(begin[lo + i] - begin[lo + j_[j]]) if text[lo + i] == text[lo + j_[j]] else None
-                        if common_stretches(own(i), own(j_[j]), least, threshold, shingle, ahead):
+                        if common_stretches(own(i), own(j_[j]), least, threshold, shingle, ahead, places):
                             a.append(lo + i)
                             o.append(lo + j_[j])
                             met[i] = True
