@@ -173,6 +173,10 @@ class _Cells:
         fill = lambda c, kind=float: self.put(np.zeros(shape, kind), pdf[c].to_numpy())
         self.u, self.p = fill("u_curr"), fill("u_prev")
         self.case, self.beyond = [fill(c, np.int8) for c in CASES[:2]], [fill(c) for c in CASES[2:]]
+        # per axis, the places of one-sided differences and of none: they are the same in each step
+        cases = [np.moveaxis(c, axis, 0) for axis, c in enumerate(self.case)]
+        self.sided = [[(at, s) for kind, s in ((stencil.FORWARD, 1), (stencil.BACKWARD, -1)) if len((at := np.nonzero(c == kind))[0])] for c in cases]
+        self.none = [np.nonzero(c == stencil.NONE) for c in cases]
         i, j = np.arange(shape[0])[:, None] + lo[0], np.arange(shape[1])[None, :] + lo[1]
         d = np.minimum(np.minimum(i, grid.dims[0] - 1 - i), np.minimum(j, grid.dims[1] - 1 - j))
         self.sigma = np.where(d < width, SIGMA_MAX * (1.0 - d / max(width, 1)) ** 2, 0.0) * dt if width else None
@@ -182,27 +186,24 @@ class _Cells:
         return field
 
     def _second_difference(self, axis: int) -> np.ndarray:
-        u, case, beyond = (np.moveaxis(x, axis, 0) for x in (self.u, self.case[axis], self.beyond[axis]))
+        u, beyond = (np.moveaxis(x, axis, 0) for x in (self.u, self.beyond[axis]))
         n, h = len(u), float(self.grid.spacing[axis])
-        wide = np.zeros((n + 4, u.shape[1]))
-        wide[2:-2] = u
-        out = wide[1:-3].copy()  # the value before
-        if self.lo[axis] == 0:
-            out[0] = beyond[0]
+        out = np.empty_like(u)
+        out[1:] = u[:-1]
+        out[0] = beyond[0] if self.lo[axis] == 0 else 0.0
         out -= 2.0 * u
-        after = wide[3:-1]
+        out[:-1] += u[1:]
         if self.lo[axis] + n == self.grid.dims[axis]:
-            after = after.copy()
-            after[-1] = beyond[-1]
-        out += after
-        for kind, s in ((stencil.FORWARD, 1), (stencil.BACKWARD, -1)):
-            at = np.nonzero(case == kind)
-            if len(at[0]):
+            out[-1] += beyond[-1]
+        if self.sided[axis]:
+            wide = np.zeros((n + 4, u.shape[1]))
+            wide[2:-2] = u
+            for at, s in self.sided[axis]:
                 k = at[0] + 2
                 far, near, f0 = wide[np.clip(k + 2 * s, 0, n + 3), at[1]], wide[k + s, at[1]], u[at]
                 out[at] = far - 2.0 * near + f0 if s > 0 else f0 - 2.0 * near + far
         out /= h * h
-        out[case == stencil.NONE] = 0.0
+        out[self.none[axis]] = 0.0
         return np.moveaxis(out, 0, axis)
 
     def step(self, c2dt2: float) -> None:
